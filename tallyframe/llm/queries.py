@@ -13,8 +13,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def queries():
     return {
+        "op8_mix_sources": op8_mix_sources,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
@@ -22,8 +29,30 @@ def queries():
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+MIX_SQL = r"""
+with d as (
+  select doc_id, coalesce(source, chr(1114111)) as source, md5(cast(doc_id as varchar)) as h,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size
+  from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source) as r from d group by source),
+w as (select *, [3, 1, 2][(r - 1) % 3 + 1] as weight, [-0.5::double, 0.0::double, 0.5::double][(r - 1) % 3 + 1] as slope from s),
+l as (select *, (sum(source_size) over () * 1.5::double
+                 - coalesce(sum(source_size * 2) over (order by source_size * 2.0::double / weight, r rows between unbounded preceding and 1 preceding), 0)::double)
+                / sum(weight) over (order by source_size * 2.0::double / weight, r rows between current row and unbounded following) as level from w),
+t as (select source, source_size, slope, least(weight * max(level) over (), source_size * 2.0::double) as target from l),
+p as (select doc_id, size, source_size, slope, target,
+             (sum(size) over (partition by source order by h, doc_id rows between unbounded preceding and current row) - size)::bigint as start
+      from d join t using (source)),
+q as (select *, (greatest(0, least(size, floor(target)::bigint - start)) + greatest(0, least(size, floor(target)::bigint - source_size - start)))::bigint as taken from p)
+select doc_id, size, source_size, target, taken,
+       case when taken > 0 then case when slope = 0 then start / target
+            else (sqrt((1 - slope) * (1 - slope) + 4 * slope * (start / target)) - (1 - slope)) / (2 * slope) end end as position
+from q"""
+
+
 def oracle_sql():
     return {
+        "op8_mix_sources": MIX_SQL,
         # n_chunks depends on the rolling hash, so the query leaves it out
         "op10_exact_dedup": f"""
 with d as (select doc_id, {LOWER_SQL} as t from documents)
