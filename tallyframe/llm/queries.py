@@ -19,8 +19,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.url_filter import filter_urls, rules_table
+
+    return filter_urls(table(spark, sf_dir, "pages"), rules_table(spark))
+
+
 def queries():
     return {
+        "op5_url_filters": op5_url_filters,
         "op8_mix_sources": op8_mix_sources,
         "op10_exact_dedup": op10_exact_dedup,
     }
@@ -50,8 +57,19 @@ select doc_id, size, source_size, target, taken,
 from q"""
 
 
+URL_SQL = r"""
+with a as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
+r(verdict, r_host, r_path) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+h as (select page_id, arg_max(r_host || r_path, length(r_host || r_path)) as rule, arg_max(verdict, length(r_host || r_path)) as verdict
+      from p join r on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path) group by page_id)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join h using (page_id)"""
+
+
 def oracle_sql():
     return {
+        "op5_url_filters": URL_SQL,
         "op8_mix_sources": MIX_SQL,
         # n_chunks depends on the rolling hash, so the query leaves it out
         "op10_exact_dedup": f"""
