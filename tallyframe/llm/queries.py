@@ -25,8 +25,15 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules_table(spark))
 
 
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op7_pack_sequences": op7_pack_sequences,
         "op5_url_filters": op5_url_filters,
         "op8_mix_sources": op8_mix_sources,
         "op10_exact_dedup": op10_exact_dedup,
