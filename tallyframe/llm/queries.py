@@ -31,8 +31,15 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op3_license_scan": op3_license_scan,
         "op7_pack_sequences": op7_pack_sequences,
         "op5_url_filters": op5_url_filters,
         "op8_mix_sources": op8_mix_sources,
@@ -74,8 +81,37 @@ h as (select page_id, arg_max(r_host || r_path, length(r_host || r_path)) as rul
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join h using (page_id)"""
 
 
+def license_sql() -> str:
+    """Every block against every template, without any filter."""
+    from tallyframe.llm.licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD, needed
+
+    not_word = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    split = f"list_filter(regexp_split_to_array(%s, '{not_word}'), lambda x: x <> '')"
+    starts = []
+    for label, phrase in PHRASES:
+        parts = phrase.split()
+        test = " and ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
+        starts.append(f"select row, '{label}' as label, unnest(list_filter(range(0, len(w)), lambda i: {test})) as i from d")
+    values = ", ".join(f"({t}, '{label}', {sorted(set(text.split()))}, {needed(len(set(text.split())), THRESHOLD)})" for t, (label, text) in enumerate(TEMPLATES))
+    return f"""
+with d as (select row_number() over () as row, doc_id, {LOWER_SQL} as t, {split % LOWER_SQL} as w from documents),
+p as ({" union all ".join(starts)}),
+b as (select row, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_sort(list_distinct(list(label))) as base from p group by row),
+l as (select row, {split % "line"} as x from (select row, unnest(string_split(t, chr(10))) as line from d)),
+k as (select row, unnest(case when len(x) <= {BLOCK} then [x] else list_transform(range(0, len(x) - {BLOCK // 2}, {BLOCK // 2}), lambda i: x[i + 1 : i + {BLOCK}]) end) as x from l),
+t(id, label, members, need) as (values {values}),
+m as (select row, label, len(list_intersect(list_distinct(x), members)) as n, len(members) as size, need from k, t),
+f as (select row, list_distinct(list(label)) as more, max(n / size) as best from m where n >= need group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+       coalesce(array_to_string(base, ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') as labels,
+       case when n_base > 0 then 1.0::double else coalesce(best, 0.0)::double end as score
+from d left join b using (row) left join f using (row)"""
+
+
 def oracle_sql():
     return {
+        "op3_license_scan": license_sql(),
         "op5_url_filters": URL_SQL,
         "op8_mix_sources": MIX_SQL,
         # n_chunks depends on the rolling hash, so the query leaves it out
