@@ -37,8 +37,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_license_scan": op3_license_scan,
         "op7_pack_sequences": op7_pack_sequences,
         "op5_url_filters": op5_url_filters,
