@@ -43,8 +43,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
+        "op4_language_id": op4_language_id,
         "op2_toxicity": op2_toxicity,
         "op3_license_scan": op3_license_scan,
         "op7_pack_sequences": op7_pack_sequences,
