@@ -49,8 +49,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {
+        "op6_html_extraction": op6_html_extraction,
         "op4_language_id": op4_language_id,
         "op2_toxicity": op2_toxicity,
         "op3_license_scan": op3_license_scan,
