@@ -55,8 +55,15 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
+        "op1_exact_topk": op1_exact_topk,
         "op6_html_extraction": op6_html_extraction,
         "op4_language_id": op4_language_id,
         "op2_toxicity": op2_toxicity,
@@ -130,8 +137,17 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
 from d left join b using (row) left join f using (row)"""
 
 
+TOPK_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10"""
+
+
 def oracle_sql():
     return {
+        "op1_exact_topk": TOPK_SQL,
         "op3_license_scan": license_sql(),
         "op5_url_filters": URL_SQL,
         "op8_mix_sources": MIX_SQL,
