@@ -61,8 +61,15 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def queries():
     return {
+        "op9_jaccard_join": op9_jaccard_join,
         "op1_exact_topk": op1_exact_topk,
         "op6_html_extraction": op6_html_extraction,
         "op4_language_id": op4_language_id,
@@ -145,8 +152,20 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select query_id, rank, vec_id, score from r where rank <= 10"""
 
 
+JACCARD_SQL = f"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array({LOWER_SQL}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')]
+                     else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as x from d),
+e as (select doc_id, len(x)::bigint as n, unnest(x) as g from s),
+o as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as i from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from o where 100 * i >= 90 * (na + nb - i)),
+r(doc_id, c) as (select doc_id, doc_id from d union select r.doc_id, l.b from r join l on r.c = l.a)
+select s.doc_id, len(x)::bigint as n_shingles, component_id from s join (select doc_id, min(c) as component_id from r group by doc_id) using (doc_id)"""
+
+
 def oracle_sql():
     return {
+        "op9_jaccard_join": JACCARD_SQL,
         "op1_exact_topk": TOPK_SQL,
         "op3_license_scan": license_sql(),
         "op5_url_filters": URL_SQL,
