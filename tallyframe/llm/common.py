@@ -15,19 +15,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is not set, as in tests, one of its own."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder (spark.checkpoint.dir).
-
-    Only where that setting is absent, as in tests, does this choose a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    elif context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    """df computed once and kept in the shared folder, with no lineage before it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it differ from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fingerprint(text):
+    """A 64-bit hash of a text as it is, which with doc_id tells rows apart whose ids repeat."""
+    return F.xxhash64(text.cast("string"))
+
+
 def ascii_lower(c):
     """A-Z lower-cased and nothing else."""
     return F.translate(c, A_Z, A_Z.lower())

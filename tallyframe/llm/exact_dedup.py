@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import LOWER, cut
+from tallyframe.llm.common import LOWER, cut, fingerprint
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 512, 11, 16384
 ID_BYTES = 28
@@ -83,24 +83,24 @@ def recipe(data: bytes) -> bytes:
     return b"".join(out)
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.binary())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.binary())])
 
 
 def _recipes(batches):
     for batch in batches:
-        ids, rows, texts = batch.column(0), batch.column(1), batch.column(2)
+        ids, rows, prints, texts = (batch.column(k) for k in range(4))
         shas, lists = [], []
         for t in texts:
             data = normalised(t.as_py())
             shas.append(hashlib.sha256(data).hexdigest())
             lists.append(recipe(data))
-        yield pa.RecordBatch.from_arrays([ids, rows, pa.array(shas, pa.string()), pa.array(lists, pa.binary())], schema=_SCHEMA)
+        yield pa.RecordBatch.from_arrays([ids, rows, prints, pa.array(shas, pa.string()), pa.array(lists, pa.binary())], schema=_SCHEMA)
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of its own for each row), text_sha256, recipe."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_recipes, "doc_id long, row long, text_sha256 string, recipe binary")
+    """doc_id, row (a number of its own for each row), fp, text_sha256, recipe."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), fingerprint(F.col("text")).alias("fp"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_recipes, "doc_id long, row long, fp long, text_sha256 string, recipe binary")
 
 
 def chunk_catalog(recipes: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def chunk_catalog(recipes: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, fp."""
     rows = cut(recipes(docs))
     groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("best"))
     groups = cut(groups.where("group_size > 1"))
@@ -121,7 +121,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     hot = groups.where(F.col("group_size") > limit)
     rest = groups.where(F.col("group_size") <= limit)
     marked = rows.join(F.broadcast(hot), "recipe", "left")
-    names = ["doc_id", "row", "text_sha256", "recipe"]
+    names = ["doc_id", "row", "fp", "text_sha256", "recipe"]
     done = marked.where("best is not null").select(*names, "group_size", "best")
     open_ = marked.where("best is null").select(*names).join(rest, "recipe", "left").select(*names, "group_size", "best")
     return done.unionByName(open_).select(
@@ -131,4 +131,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("kept"),
         "text_sha256",
         (F.length("recipe") / ID_BYTES).cast("long").alias("n_chunks"),
+        "fp",
     )

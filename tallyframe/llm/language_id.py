@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm.common import crc32_of_id
 
@@ -194,20 +195,24 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[str]]:
     return [r.text for r in got], [r.lang for r in got]
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
-
-def identify(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, lang_pred, score."""
+def annotate(docs: DataFrame, lang_col: str, score_col: str, size: int = SAMPLE) -> DataFrame:
+    """docs with two columns more. If nothing can be learnt every language is UND."""
     model = train(*sample(docs, size))
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = part.column(1).to_pylist()
+                texts = part.column(at).to_pylist()
                 langs, scores = predict(texts, *model) if model else ([UND] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_col, score_col])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """One row for each row of docs: doc_id, held_out, lang_pred, score."""
+    found = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), "lang_pred", "score", size)
     return found.select("doc_id", (F.coalesce(crc32_of_id(F.col("doc_id")), F.lit(-1)) % FOLDS == HELD_OUT).alias("held_out"), "lang_pred", "score")

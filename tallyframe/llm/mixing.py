@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut
+from tallyframe.llm.common import cut, fingerprint, fresh
 
 WEIGHTS = (3, 1, 2)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -62,6 +62,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("a"), F.col("source").cast("string")), F.lit("b")).alias("key"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"),
         words(F.col("text").cast("string")).alias("size"),
+        fingerprint(F.col("text")).alias("fp"),
     ).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
 
 
@@ -73,7 +74,7 @@ def position(offset, target, slope):
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken, position (of its first word; null if not taken), start."""
+    """One row for each row of docs: doc_id, size, source_size, target, taken, position (of its first word; null if not taken), start, slope, fp."""
     rows = cut(sized(docs))
     buckets = rows.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = targets(buckets.groupBy("key").agg(F.sum("bucket_size").alias("source_size")), weights, slopes, share, most)
@@ -86,21 +87,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, m
     taken = sum((F.greatest(zero, F.least(F.col("size"), room - F.col("source_size") * k - F.col("start"))) for k in range(most)), zero)
     out = out.withColumn("taken", taken)
     first = F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("target"), F.col("slope")))
-    return out.withColumn("position", first).select("doc_id", "size", "source_size", "target", "taken", "position", "start", "slope")
+    return out.withColumn("position", first).select("doc_id", "size", "source_size", "target", "taken", "position", "start", "slope", "fp")
 
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """The mixed training set itself: rows of docs, as often as they are taken, range-sorted by position.
 
     Whole documents only: each pass over a document counts if at least half its words are taken, so a source is off its
-    target by half a document at most. Rows are matched by doc_id and size; rows that repeat both share one plan.
+    target by half a document at most. Rows are matched by doc_id and fingerprint of the text; rows that repeat both share
+    one plan.
     """
     plan = mix(docs, **options).withColumn("passes", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int"))
-    plan = plan.where("passes > 0").dropDuplicates(["doc_id", "size"]).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "passes", "start", "source_size", "target", F.col("slope").alias("__slope"))
-    plan = plan.select("__id", "__size", F.struct("passes", "start", "source_size", "target", "__slope").alias("__plan"))
-    names = docs.columns
-    rows = docs.withColumn("__size_of", words(F.col("text").cast("string")))
-    both = rows.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__size_of") == F.col("__size")))
-    both = both.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__plan.passes") - 1)))
-    offset = F.least(F.col("__plan.start") + F.col("__plan.source_size") * F.col("__pass"), F.floor("__plan.target")).cast("double")
-    return both.withColumn("__at", position(offset, F.col("__plan.target"), F.col("__plan.__slope"))).repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").select(*names)
+    plan = plan.where("passes > 0").dropDuplicates(["doc_id", "fp"])
+    own, at = fresh(docs, "plan"), fresh(docs, "at")
+    plan = plan.select(F.struct("doc_id", "fp", "passes", "start", "source_size", "target", "slope").alias(own))
+    rows = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}.doc_id")) & (fingerprint(docs["text"]) == F.col(f"{own}.fp")))
+    turn = F.explode(F.sequence(F.lit(0), F.col(f"{own}.passes") - 1))
+    rows = rows.withColumn(at, turn)
+    offset = F.least(F.col(f"{own}.start") + F.col(f"{own}.source_size") * F.col(at), F.floor(f"{own}.target")).cast("double")
+    rows = rows.withColumn(at, position(offset, F.col(f"{own}.target"), F.col(f"{own}.slope")))
+    return rows.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").select(*docs.columns)

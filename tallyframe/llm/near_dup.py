@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut
+from tallyframe.llm.common import cut, fingerprint
 from tallyframe.llm.components import components
 from tallyframe.llm.shingles import mixed, shingle_set
 
@@ -104,8 +104,8 @@ def may_link(bound, a, b, percent: int):
     return (100 + percent) * bound >= percent * (a + b)
 
 
-_DOCS = "doc_id long, row long, n long, d1 long, d2 long, point binary, cells binary"
-_DOCS_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("point", pa.binary()), ("cells", pa.binary())])
+_DOCS = "doc_id long, row long, fp long, n long, d1 long, d2 long, point binary, cells binary"
+_DOCS_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("point", pa.binary()), ("cells", pa.binary())])
 
 
 def digests(s: np.ndarray) -> tuple[int, int]:
@@ -120,14 +120,14 @@ def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 cols: list[list] = [[], [], [], [], []]
-                for text in part.column(2):
+                for text in part.column(3):
                     s = shingle_set(text.as_py(), words)
                     d1, d2 = digests(s)
                     for column, value in zip(cols, (len(s), d1, d2, point(s).tobytes() if len(s) else None, cells(s, percent).tobytes() if len(s) else None), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, _DOCS_ARROW.types[2:], strict=True))], schema=_DOCS_ARROW)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c, t) for c, t in zip(cols, _DOCS_ARROW.types[3:], strict=True))], schema=_DOCS_ARROW)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), fingerprint(F.col("text")).alias("fp"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, _DOCS)
 
 
@@ -334,11 +334,11 @@ def cross_pairs(members: DataFrame, found: DataFrame, points: DataFrame, percent
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, n_links (links its class was verified in, not a full degree)."""
+    """One row for each row of docs: doc_id, n_shingles, component_id, n_links (links its class was verified in, not a full degree), kept (one row of each component), fp."""
     rows = cut(documents(docs, words, percent))
     keys = ["d1", "d2", "n"]
     classes = cut(
-        rows.where("n > 0").groupBy(*keys).agg(F.min(F.struct("row", "doc_id")).alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        rows.where("n > 0").groupBy(*keys).agg(F.min(F.struct("row", "doc_id")).alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("copies"))
         .select(*keys, F.col("rep.row").alias("cls"), "least", "copies")
     )
     own = rows.select(F.col("row").alias("cls"), "doc_id", "n", "point", "cells").join(classes.select("cls"), "cls", "left_semi")
@@ -361,15 +361,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     linked = found.select(F.col("node").alias("cls"), "component").unionByName(found.select(F.col("component").alias("cls"), "component").distinct())
     named = linked.join(classes.select("cls", "least"), "cls")
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("cls", "component_id")
-    result = cut(classes.join(named, "cls", "left").join(degree, "cls", "left").select(*keys, "copies", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    ids = named.groupBy("component").agg(F.min("least").alias("stays"))
+    named = named.join(ids, "component").select("cls", "stays")
+    result = cut(classes.join(named, "cls", "left").join(degree, "cls", "left").select(*keys, "copies", F.coalesce("stays", "least").alias("stays"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     limit = max(1000, int(rows.count() * HOT_SHARE))
     # classes with over 1/1000 of all rows, fewer than 1000 of them, go by broadcast
-    ids_of = rows.select("doc_id", *keys)
+    ids_of = rows.select("doc_id", "row", "fp", *keys)
     hot = ids_of.join(F.broadcast(result.where(F.col("copies") > limit)), keys, "left")
-    rest = hot.where("copies is null").select("doc_id", *keys).join(result.where(F.col("copies") <= limit), keys, "left")
-    names = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    rest = hot.where("copies is null").select("doc_id", "row", "fp", *keys).join(result.where(F.col("copies") <= limit), keys, "left")
+    alone = F.col("n") == 0
+    names = [
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (alone | (F.col("stays.row") == F.col("row"))).alias("kept"),
+        "fp",
+    ]
     return hot.where("copies is not null").select(*names).unionByName(rest.select(*names))
 
 

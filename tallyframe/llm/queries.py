@@ -10,7 +10,7 @@ from tallyframe.llm.common import table
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyframe.llm.exact_dedup import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks", "fp")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": pipeline,
         "op9_jaccard_join": op9_jaccard_join,
         "op1_exact_topk": op1_exact_topk,
         "op6_html_extraction": op6_html_extraction,

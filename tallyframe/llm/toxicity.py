@@ -31,7 +31,7 @@ BUCKET_BITS, DIM = 18, 8
 GRAMS = (3, 4, 5)
 WINDOW = 12
 SLICE = 1 << 17
-SAMPLE, CLEAN, SAMPLE_CHARS = 1000, 4, 4000
+SAMPLE, CLEAN, SAMPLE_CHARS = 800, 4, 2500
 ROUNDS, STEPS, RATE, DECAY = 12, 25, 0.3, 2e-8
 #: A window counts as if it had this many more subwords that say nothing.
 PRIOR = 10
@@ -158,17 +158,21 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
         cell_at = np.zeros(len(raw), dtype=np.int32)
         cell_at[marks[1:]] = 1
         cell_at = np.cumsum(cell_at, dtype=np.int32) + np.int32(n_cells)
-        for bucket, inside in grams(raw):
-            at = np.flatnonzero(inside)
-            cell_parts.append(cell_at[at])
-            bucket_parts.append(bucket[at].astype(np.int32))
+        found = [(cell_at[at], bucket[at].astype(np.int32)) for bucket, inside in grams(raw) for at in (np.flatnonzero(inside),)]
+        if found:
+            cells, buckets = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(cells, kind="stable")  # so that the whole is in the order of its cells
+            cell_parts.append(cells[order])
+            bucket_parts.append(buckets[order])
         doc_parts.append(np.full(len(of), k))
         n_cells += len(marks)
     if not n_cells:
         return np.zeros(1 << BUCKET_BITS), float(np.log(min(max(y.mean(), 1e-6), 0.49)))
-    cell, bucket, doc = np.concatenate(cell_parts), np.concatenate(bucket_parts), np.concatenate(doc_parts)
-    order = np.argsort(cell, kind="stable")
-    cell, bucket = cell[order], bucket[order]
+    doc = np.concatenate(doc_parts)
+    cell = np.concatenate(cell_parts)
+    del cell_parts
+    bucket = np.concatenate(bucket_parts)
+    del bucket_parts
     count = np.bincount(cell, minlength=n_cells)
     first = np.concatenate([[0], np.cumsum(count)])
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -187,16 +191,15 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     step = 0
     for turn in range(ROUNDS):
         if turn == 0:  # no window is known yet: whole texts
-            own = np.repeat(np.arange(len(starts)), last - starts + 1)[cell]
-            bag = bucket
+            own = np.repeat(np.arange(len(starts), dtype=np.int32), last - starts + 1)[cell]
+            used, bag = np.arange(1 << BUCKET_BITS), bucket
         else:  # each text's most toxic window
             logit, _ = window_logits(np.bincount(cell, weights=(e @ w).astype(np.float32)[bucket], minlength=n_cells), count, doc, b)
             top = np.lexsort((-logit, doc))[starts]
             spans = [np.arange(first[t], first[min(t + 2, z + 1)]) for t, z in zip(top, last, strict=True)]
             own = np.repeat(np.arange(len(top)), [len(x) for x in spans])
-            bag = bucket[np.concatenate(spans)]
+            used, bag = np.unique(bucket[np.concatenate(spans)], return_inverse=True)
         length = np.bincount(own, minlength=len(y)) + PRIOR
-        used, bag = np.unique(bag, return_inverse=True)
         eu, m, v = e[used], state[0][used], state[1][used]
         for _ in range(STEPS if turn else 8):
             step += 1
