@@ -175,23 +175,14 @@ def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int)
                 keep.append(bool(may_link(int(np.minimum(folded(p, g), folded(q, g)).sum()), batch.column(2)[k].as_py(), batch.column(4)[k].as_py(), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    def tested(batches):
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
-
     def of(table, cls, *names):
         return table.select(F.col("cls").alias(cls), *(F.col(n).alias(f"{cls}_{n}") for n in names))
 
     near = pairs.join(of(points, "a", "n", "point"), "a").join(of(points, "b", "n", "point"), "b")
     near = cut(near.select("a", "b", "a_n", "a_point", "b_n", "b_point").mapInArrow(bounded, "a long, b long"))
-    full = near.join(of(sets, "a", "set"), "a").join(of(sets, "b", "set"), "b").select("a", "b", "a_set", "b_set")
-    return full.mapInArrow(tested, "a long, b long")
+    full = near.join(of(sets, "a", "set"), "a").join(of(sets, "b", "set"), "b")
+    both = F.size(F.array_intersect("a_set", "b_set"))  # sets stay in the JVM: as Arrow batches long ones would need much memory
+    return full.where(both * 100 >= (F.size("a_set") + F.size("b_set") - both) * percent).select("a", "b")
 
 
 def _leaf_pairs(cls, comp, n, points, percent):
@@ -382,8 +373,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def _sets(docs: DataFrame, points: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """cls and set (sorted hashes as bytes) of the classes in points, from the texts of their first rows."""
-    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
+    """cls and set (hashes) of the classes in points, from the texts of their first rows."""
+    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -391,7 +382,7 @@ def _sets(docs: DataFrame, points: DataFrame, classes: DataFrame, words: int) ->
                 made = []
                 for text in batch.slice(start, 500).column(0):
                     s = shingle_set(text.as_py(), words)
-                    made.append((*digests(s), len(s), s.tobytes()))
+                    made.append((*digests(s), len(s), s.view(np.int64)))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -401,4 +392,4 @@ def _sets(docs: DataFrame, points: DataFrame, classes: DataFrame, words: int) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("text")
     wanted_classes = classes.join(points.select("cls"), "cls", "left_semi").select("d1", "d2", "n", "cls")
-    return texts.mapInArrow(run, "d1 long, d2 long, n long, set binary").join(wanted_classes, ["d1", "d2", "n"]).dropDuplicates(["cls"]).select("cls", "set")
+    return texts.mapInArrow(run, "d1 long, d2 long, n long, set array<long>").join(wanted_classes, ["d1", "d2", "n"]).dropDuplicates(["cls"]).select("cls", "set")
