@@ -1,9 +1,615 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL: every operator over the pairs and tables of the driver."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyframe.functions import canonical as C
+from tallyframe.functions import typemap
+from tallyframe.functions.hashing import row_hash, tree_digest
+from tallyframe.operators import aggregates as A
+from tallyframe.operators import chunks as K
+from tallyframe.operators import ddl as D
+from tallyframe.operators import diff, lob
+from tallyframe.operators import partitions as P
+from tallyframe.operators import profile as Q
+from tallyframe.operators import recommend as R
+from tallyframe.operators.pair import TablePair
+from tallyframe.plans import oracle as O
+from tallyframe.plans.pairs import day, load, table
+from tallyframe.sources.migrate import whole_table_digests
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+SIZE = 1000
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, for a comparison across engines that need not agree on their scale."""
+    return df.withColumns({f.name: F.col(f.name).cast("double") for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)})
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[name or f.__name__] = lambda spark, sf: _plain(f(spark, sf))
+        if sql is not None:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# --- counts and aggregates ---------------------------------------------------------------------------------
+
+
+@query(f"with {O.sides('orders')} select (select count(*) from src) as source_rows, (select count(*) from tgt) as target_rows, (select count(*) from src) = (select count(*) from tgt) as match")
+def row_count_compare(spark, sf):
+    return A.row_counts(load(spark, sf, "orders"))
+
+
+def _aggregates(pair: str) -> None:
+    query(O.aggregate_compare(pair), f"agg_compare_{pair}")(lambda spark, sf: A.compare_aggregates(load(spark, sf, pair), O.columns(pair)))
+
+
+for _pair in ("orders", "customer", "part", "lineitem", "events"):
+    _aggregates(_pair)
+
+
+@query(O.aggregate_compare("events", ["event_id", "user_id", "value"], "day"))
+def agg_partitioned(spark, sf):
+    p = load(spark, sf, "events")
+    return A.compare_aggregates(TablePair(day(p.source), day(p.target), p.keys), ["event_id", "user_id", "value"], ("day",))
+
+
+@query(f"""with c as ({O.aggregate_compare("orders")}), k as (select column_name, bool_and(match) as ok from c group by 1)
+select count(*) as total_columns, count(*) filter (where ok) as matched_columns, bool_and(ok) as match from k""")
+def agg_verdict(spark, sf):
+    return A.verdict(A.compare_aggregates(load(spark, sf, "orders"), O.columns("orders")))
+
+
+@query("""select min(l_quantity) as min_quantity, max(l_quantity) as max_quantity, min(l_shipdate) as min_shipdate, max(l_shipdate) as max_shipdate, min(l_returnflag) as min_flag, max(l_returnflag) as max_flag from lineitem""")
+def agg_min_max(spark, sf):
+    pairs = (("l_quantity", "quantity"), ("l_shipdate", "shipdate"), ("l_returnflag", "flag"))
+    return table(spark, sf, "lineitem").agg(*[f(c).alias(f"{n}_{a}") for c, a in pairs for f, n in ((F.min, "min"), (F.max, "max"))])
+
+
+@query("select count(distinct l_orderkey) as orders, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers, count(distinct l_extendedprice) as prices from lineitem")
+def agg_count_distinct(spark, sf):
+    names = (("l_orderkey", "orders"), ("l_partkey", "parts"), ("l_suppkey", "suppliers"), ("l_extendedprice", "prices"))
+    return table(spark, sf, "lineitem").agg(*[F.countDistinct(c).alias(n) for c, n in names])
+
+
+_NUMBERS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(f"with {O.sides('lineitem')}, a as ({O.aggregates('lineitem', 'src', _NUMBERS)}) select column_name, value from a where metric = 'sum'")
+def agg_sum_round(spark, sf):
+    return A.column_aggregates(load(spark, sf, "lineitem").source, _NUMBERS).select("column_name", F.col("sum").alias("value"))
+
+
+@query(f"with {O.sides('lineitem')}, a as ({O.aggregates('lineitem', 'src', _NUMBERS)}) select column_name, value from a where metric = 'avg'")
+def agg_avg_round(spark, sf):
+    return A.column_aggregates(load(spark, sf, "lineitem").source, _NUMBERS).select("column_name", F.col("avg").alias("value"))
+
+
+@query()
+def approx_distinct_profile(spark, sf):
+    return A.column_aggregates(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"], approximate=True).select("column_name", "distinct_count")
+
+
+# --- canonical text and hashes -----------------------------------------------------------------------------
+
+
+@query(f"with {O.sides('orders')} select o_orderkey, {O.row_text(O.columns('orders', False))} as row_text from src")
+def canonical_text_orders(spark, sf):
+    s = load(spark, sf, "orders").source
+    return s.select("o_orderkey", C.row_text(s.schema, O.columns("orders", False)).alias("row_text"))
+
+
+@query("""select doc_id, coalesce(case when text = '' then '<EMPTY>' else 'LEN:' || length(text) || ':' || substr(text, 1, 100) end, '<NULL>') || '|' ||
+  coalesce(case when trim(lang) = '' then '<EMPTY>' else trim(lang) end, '<NULL>') || '|' || cast(n_chars as varchar) as row_text from documents""")
+def canonical_text_documents(spark, sf):
+    s = table(spark, sf, "documents")
+    return s.select("doc_id", C.row_text(s.schema, ["text", "lang", "n_chars"], lobs=("text",)).alias("row_text"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, regexp_replace(regexp_replace(cast(cast(l_extendedprice as decimal(38,10)) as varchar), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') as price_text from lineitem""")
+def canonical_number_unscaled(spark, sf):
+    s = table(spark, sf, "lineitem")
+    return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.canonical(s.schema["l_extendedprice"], F.col("l_extendedprice")).alias("price_text"))
+
+
+def _policy(policy: str) -> None:
+    def run(spark, sf):
+        t = load(spark, sf, "orders").target
+        return t.select("o_orderkey", C.canonical(t.schema["o_orderpriority"], F.col("o_orderpriority"), policy).alias("priority_text"))
+
+    query(f"with {O.sides('orders')} select o_orderkey, {O.text('o_orderpriority', policy)} as priority_text from tgt", f"canonical_null_empty_{policy}")(run)
+
+
+for _name in ("distinct", "null_as_empty", "empty_as_null"):
+    _policy(_name)
+
+
+@query(f"with {O.sides('orders')} select o_orderkey, {O.row_hash(O.columns('orders'))} as row_hash from src")
+def row_hash_orders(spark, sf):
+    s = load(spark, sf, "orders").source
+    return s.select("o_orderkey", row_hash(s, O.columns("orders")).alias("row_hash"))
+
+
+@query(f"with {O.sides('lineitem')} select {O.row_hash(O.columns('lineitem'))} as row_hash, count(*) as copies from src group by 1")
+def row_hash_lineitem(spark, sf):
+    s = load(spark, sf, "lineitem").source
+    return s.groupBy(row_hash(s, O.columns("lineitem")).alias("row_hash")).agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(f"""with {O.sides('customer')}, h as (select {O.row_hash(O.columns('customer'))} as h from src),
+p as (select substr(h, 1, 3) as p, sha256(string_agg(h, '' order by h)) as d, count(*) as n from h group by 1)
+select sum(n)::bigint as row_count, sha256(string_agg(d, '' order by p)) as digest from p""")
+def tree_digest_customer(spark, sf):
+    s = load(spark, sf, "customer").source
+    return tree_digest(s, row_hash(s, O.columns("customer")), [])
+
+
+# --- chunks ------------------------------------------------------------------------------------------------
+
+_BY_KEY = f"cast(floor(o_orderkey / {SIZE}) as bigint)"
+
+
+@query(O.chunk_compare("orders", _BY_KEY))
+def chunk_hash_between(spark, sf):
+    return K.compare_chunks(load(spark, sf, "orders"), SIZE)
+
+
+def _keyset(name: str, keys: tuple[str, ...]) -> str:
+    names = ", ".join(keys)
+    start = ", ".join(f"b.{k}" for k in keys)
+    own = ", ".join(f"x.{k}" for k in keys)
+    place = f"greatest(0, (select count(*) from b where ({start}) <= ({own})) - 1)"
+    return f""",
+n as (select {names}, row_number() over (order by {names}) - 1 as rn from src),
+b as (select {names} from n where rn % {SIZE} = 0),
+srcc as (select x.*, {place} as chunk from src x),
+tgtc as (select x.*, {place} as chunk from tgt x)"""
+
+
+@query(O.chunk_compare("orders", "chunk", extra=_keyset("orders", ("o_orderkey",))))
+def chunk_hash_keyset(spark, sf):
+    return K.compare_chunks(load(spark, sf, "orders"), SIZE, "keyset")
+
+
+@query(O.chunk_compare("conversations", "chunk", extra=_keyset("conversations", ("conv_id", "turn"))))
+def chunk_hash_composite(spark, sf):
+    return K.compare_chunks(load(spark, sf, "conversations"), SIZE)
+
+
+@query(O.chunk_compare("events", f"cast(floor(event_id / {SIZE}) as bigint)", "strftime(ts, '%Y-%m-%d') as day"))
+def chunk_hash_partitioned(spark, sf):
+    p = load(spark, sf, "events")
+    return K.compare_chunks(TablePair(day(p.source), day(p.target), p.keys), SIZE, columns=O.columns("events", False), by=("day",))
+
+
+def _tree(side: str, name: str) -> str:
+    h = f"select {O.row_hash(O.columns(name))} as h from {side}"
+    return f"(select sum(n)::bigint as n, sha256(string_agg(d, '' order by p)) as d from (select substr(h, 1, 3) as p, sha256(string_agg(h, '' order by h)) as d, count(*) as n from ({h}) group by 1))"
+
+
+@query(f"with {O.sides('customer')}, s as {_tree('src', 'customer')}, t as {_tree('tgt', 'customer')} select s.n as source_rows, t.n as target_rows, s.d as source_hash, t.d as target_hash, s.d = t.d as match from s, t")
+def chunk_hash_whole_table(spark, sf):
+    return whole_table_digests(load(spark, sf, "customer"))
+
+
+@query(f"with {O.sides('orders')} select {_BY_KEY} as chunk_id, min(o_orderkey) as first_key, max(o_orderkey) as last_key, count(*) as row_count from src group by 1")
+def chunk_bounds_between(spark, sf):
+    s = load(spark, sf, "orders").source
+    return s.groupBy(K.by_width("o_orderkey", SIZE).alias("chunk_id")).agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.count(F.lit(1)).alias("row_count"))
+
+
+def _bounds(side: str, keys: tuple[str, ...], size: int) -> str:
+    names = ", ".join(keys)
+    return f"""n as (select {names}, row_number() over (order by {names}) - 1 as rn from {side}),
+b as (select cast(rn // {size} as bigint) as chunk_id, {names} from n where rn % {size} = 0)
+select chunk_id, {", ".join(f"{k} as start_{k}, lead({k}) over (order by chunk_id) as end_{k}" for k in keys)} from b"""
+
+
+@query(f"with {_bounds('part', ('p_partkey',), 100)}")
+def chunk_bounds_keyset(spark, sf):
+    return K.keyset_bounds(table(spark, sf, "part"), ("p_partkey",), 100)
+
+
+@query(f"with {_bounds('conversations', ('conv_id', 'turn'), 100)}")
+def chunk_bounds_composite(spark, sf):
+    return K.keyset_bounds(table(spark, sf, "conversations"), ("conv_id", "turn"), 100)
+
+
+@query("select count(*) filter (where conv_id is null or turn is null) as null_key_rows from (select case when turn = 3 then null else conv_id end as conv_id, turn from conversations)")
+def composite_pk_null_check(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("conv_id", F.when(F.col("turn") == 3, F.lit(None)).otherwise(F.col("conv_id")))
+    return K.null_keys(c, ("conv_id", "turn"))
+
+
+@query("select * from conversations where (conv_id, turn) > (10, 1) order by conv_id, turn limit 50")
+def keyset_page(spark, sf):
+    return K.page(table(spark, sf, "conversations"), ("conv_id", "turn"), (10, 1), 50)
+
+
+# --- differences -------------------------------------------------------------------------------------------
+
+
+@query(f"{O.row_diff('orders')} select * from d")
+def row_diff_full(spark, sf):
+    return diff.row_diff(load(spark, sf, "orders"))
+
+
+def _diff(name: str, pair: str, reason: str, sql: str = "*") -> None:
+    query(f"{O.row_diff(pair)} select {sql} from d where reason = '{reason}'", name)(lambda spark, sf: diff.row_diff(load(spark, sf, pair)).where(F.col("reason") == reason))
+
+
+_diff("row_diff_tolerance", "orders", diff.OUT_OF_TOLERANCE)
+_diff("row_diff_null_mismatch", "orders", diff.NULL_MISMATCH)
+_diff("row_diff_value_mismatch", "orders", diff.VALUE_MISMATCH)
+_diff("row_diff_customer", "customer", diff.VALUE_MISMATCH)
+_diff("row_diff_part", "part", diff.OUT_OF_TOLERANCE)
+_diff("row_diff_events_time", "events", diff.VALUE_MISMATCH)
+_diff("row_diff_conversations", "conversations", diff.VALUE_MISMATCH)
+
+
+def _side(name: str, reason: str) -> None:
+    query(f"{O.row_diff('orders')} select o_orderkey, reason from d where reason = '{reason}'", name)(lambda spark, sf: diff.sides(load(spark, sf, "orders")).where(F.col("reason") == reason))
+
+
+_side("row_diff_missing", diff.MISSING)
+_side("row_diff_extra", diff.EXTRA)
+
+
+@query(f"{O.row_diff('orders')}, g as (select *, case when reason = 'decimal_tolerance_exceeded' then 'o_totalprice' else column_name end as c from d) select coalesce(c, '') as column_name, reason, count(*) as n from g group by all")
+def row_diff_summary(spark, sf):
+    return diff.row_diff(load(spark, sf, "orders")).groupBy(F.coalesce("column_name", F.lit("")).alias("column_name"), "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CHUNKED = f"{O.row_diff('orders')}, c as (select {_BY_KEY} as chunk_id, * from d)"
+_FAILED = O.chunk_compare("orders", _BY_KEY)
+
+
+@query(f"""{_CHUNKED}, k as (select {_BY_KEY} as chunk_id, o_orderkey, row_number() over (partition by {_BY_KEY} order by o_orderkey) as k from (select o_orderkey from src union select o_orderkey from tgt)),
+f as (select chunk_id from ({_FAILED}) where not match)
+select chunk_id, o_orderkey, column_name, source_value, target_value, difference, reason, count(*) over (partition by chunk_id) >= 10 as early_exit
+from c join k using (chunk_id, o_orderkey) where k <= 10 and chunk_id in (select chunk_id from f)""")
+def row_diff_sample_topn(spark, sf):
+    p = load(spark, sf, "orders")
+    chunked = K.with_chunks(p, SIZE)
+    failed = K.compare_chunks(p, SIZE).where("not match")
+    return diff.drill_down(chunked, failed, sample=10)
+
+
+@query(f"""{_CHUNKED}, r as (select *, row_number() over (partition by chunk_id order by o_orderkey, column_name nulls first) as k, count(*) over (partition by chunk_id) >= 2 as early_exit from c)
+select chunk_id, o_orderkey, column_name, source_value, target_value, difference, reason, early_exit from r where k <= 2""")
+def row_diff_early_exit(spark, sf):
+    p = load(spark, sf, "orders")
+    chunked = K.with_chunks(p, SIZE)
+    return diff.drill_down(chunked, K.compare_chunks(p, SIZE).where("not match"), sample=10**9, most=2)
+
+
+@query(f"""with f as (select chunk_id from ({_FAILED}) where not match), {O.sides('orders')}, n as (select {_BY_KEY} as chunk_id, count(*) as source_rows from src group by 1)
+select chunk_id, source_rows from n where chunk_id in (select chunk_id from f)""")
+def drilldown_failing_chunks(spark, sf):
+    p = load(spark, sf, "orders")
+    failed = K.compare_chunks(p, SIZE).where("not match").select("chunk_id")
+    return K.with_chunks(p, SIZE).source.join(failed, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("source_rows"))
+
+
+_LINE = ", ".join(f"cast({c} as double) as {c}" if O.KINDS[c].startswith("dec") else c for c in O.columns("lineitem"))
+
+
+@query(f"""with {O.sides('lineitem')}, m as (select *, 'missing_in_target' as reason from (select * from src except all select * from tgt) union all select *, 'extra_in_target' from (select * from tgt except all select * from src))
+select {_LINE}, reason, count(*) as copies from m group by all""")
+def multiset_diff_no_pk(spark, sf):
+    return diff.multiset_diff(load(spark, sf, "lineitem"))
+
+
+# --- profiles and recommendations --------------------------------------------------------------------------
+
+
+def _profile(table_: str, names: list[str], kinds: dict[str, str]) -> str:
+    out = []
+    for c in names:
+        kind = kinds[c]
+        number = kind.startswith(("int", "dec"))
+        scale = int(kind[3:]) if kind.startswith("dec") else 0
+        dec = f"decimal(38,{scale})"
+        value = {"ts": "strftime({f}({c}), '%Y-%m-%dT%H:%M:%S.%f')", "str": "{f}({c})"}.get(kind, "cast(cast({f}({c}) as " + dec + ") as varchar)")
+        exact = f"cast({c} as decimal(38,10))"
+        text = f"cast(cast({c} as bigint) as varchar)"
+        days = f"count(*) filter (where {exact} % 1 = 0 and {exact} between 19000101 and 99991231 and try_strptime({text}, '%Y%m%d') is not null)" if number else "0"
+        out.append(f"""select '{c}' as column_name, count(*) as row_count, count(*) filter (where {c} is null) as null_count, count(distinct {c}) as distinct_count,
+ {value.format(f="min", c=c)} as min_value, {value.format(f="max", c=c)} as max_value,
+ {f"count(*) filter (where {exact} % 1 <> 0)" if number else "cast(null as bigint)"} as fraction_row_count,
+ {f"cast(cast(sum(cast({c} as {dec})) as {dec}) as varchar)" if number else "cast(null as varchar)"} as sum_value,
+ {f"count(*) filter (where strftime({c}, '%H:%M:%S') <> '00:00:00')" if kind == "ts" else "cast(null as bigint)"} as non_zero_time_count,
+ {days} as day_count, count(*) filter (where {c} is null) / greatest(count(*), 1) as null_ratio, count(distinct {c}) / greatest(count(*), 1) as distinct_ratio from {table_}""")
+    return "\nunion all ".join(out)
+
+
+@query(f"with {O.sides('lineitem')} {_profile('src', _NUMBERS, O.KINDS)}")
+def profile_numeric(spark, sf):
+    return Q.profile(load(spark, sf, "lineitem").source, _NUMBERS)
+
+
+@query(_profile("events", ["ts", "user_id"], O.KINDS))
+def profile_temporal(spark, sf):
+    return Q.profile(table(spark, sf, "events"), ["ts", "user_id"])
+
+
+@query(_profile("customer", ["c_name", "c_mktsegment"], O.KINDS))
+def profile_string(spark, sf):
+    return Q.profile(table(spark, sf, "customer"), ["c_name", "c_mktsegment"])
+
+
+@query(" union all ".join(f"select '{c}' as column_name, count(*) filter (where cast({c} as decimal(38,10)) % 1 <> 0) as fraction_rows from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+def fraction_rows(spark, sf):
+    names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    wide = table(spark, sf, "lineitem").agg(*[F.count_if(Q.fraction(F.col(c))).alias(c) for c in names])
+    return wide.unpivot([], list(names), "column_name", "fraction_rows")
+
+
+@query(f"with {O.sides('orders')} " + " union all ".join(f"select '{c}' as column_name, count(*) filter (where {c} is null) / count(*) as null_ratio, count(distinct {c}) / count(*) as distinct_ratio from tgt" for c in O.columns("orders")))
+def null_distinct_ratio(spark, sf):
+    return Q.profile(load(spark, sf, "orders").target, O.columns("orders")).select("column_name", "null_ratio", "distinct_ratio")
+
+
+@query("""select 'ts' as column_name, count(*) filter (where strftime(ts, '%H:%M:%S') <> '00:00:00') as non_zero_time_count from events
+union all select 'o_orderdate', count(*) filter (where strftime(o_orderdate, '%H:%M:%S') <> '00:00:00') from orders""")
+def non_zero_time(spark, sf):
+    e, o = Q.profile(table(spark, sf, "events"), ["ts"]), Q.profile(table(spark, sf, "orders"), ["o_orderdate"])
+    return e.unionByName(o).select("column_name", "non_zero_time_count")
+
+
+@query(f"with {O.sides('orders')}, b as (select * from src union all select * from tgt) " + " union all ".join(f"select '{c}' as column_name, count(*) filter (where {c} < -32768 or {c} > 32767) as out_of_range_rows from b" for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+def out_of_range_rows(spark, sf):
+    return Q.count_out_of_range(load(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"], "SMALLINT")
+
+
+@query(f"with {O.sides('orders')} " + " union all ".join(f"select '{c}' as column_name, count(*) filter (where {c} is not null and (try_cast(round(cast({c} as decimal(38,10))) as smallint) is null or try_cast(round(cast({c} as decimal(38,10))) as smallint) <> {c})) as cast_loss_rows from tgt" for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+def dry_run_cast_loss(spark, sf):
+    return Q.count_cast_loss(load(spark, sf, "orders").target, ["o_orderkey", "o_custkey", "o_totalprice"], "SMALLINT")
+
+
+def _number_range(names: list[str]) -> str:
+    """Both sides' least, largest and fractions of numeric columns."""
+    return " union all ".join(f"select '{c}' as column_name, least((select min({c}) from src), (select min({c}) from tgt))::decimal(38,10) as lo, greatest((select max({c}) from src), (select max({c}) from tgt))::decimal(38,10) as hi, (select count(*) from src where {c}::decimal(38,10) % 1 <> 0) + (select count(*) from tgt where {c}::decimal(38,10) % 1 <> 0) as fractions from (select 1)" for c in names)
+
+
+_WHOLE = "case when fractions > 0 then 'NUMERIC' when lo between -32768 and 32767 and hi between -32768 and 32767 then 'SMALLINT' when lo >= -2147483648 and hi <= 2147483647 then 'INTEGER' when lo >= -9223372036854775808 and hi <= 9223372036854775807 then 'BIGINT' else 'NUMERIC' end"
+
+
+@query(f"""with {O.sides('lineitem')}, r as ({_number_range(["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"])})
+select column_name, {_WHOLE} as recommended_type from r union all select 'l_shipdate', 'DATE' union all select 'l_returnflag', 'NUMERIC'""")
+def recommend_types(spark, sf):
+    p = load(spark, sf, "lineitem")
+    return R.recommend(p, ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate", "l_returnflag"]).select("column_name", "recommended_type")
+
+
+@query("""with v(id, d, n) as (select l_linenumber, cast(strftime(l_shipdate, '%Y%m%d') as bigint), cast(l_quantity as bigint) from lineitem)
+select 'd' as column_name, case when count(*) filter (where try_strptime(cast(d as varchar), '%Y%m%d') is not null and d between 19000101 and 99991231) = count(d) then 'DATE' else 'INTEGER' end as recommended_type from v
+union all select 'n', 'SMALLINT'""")
+def recommend_dates(spark, sf):
+    v = table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyyMMdd").cast("bigint").alias("d"), F.col("l_quantity").cast("bigint").alias("n"))
+    return R.recommend(TablePair(v, v), ["d", "n"]).select("column_name", "recommended_type")
+
+
+_ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@query(f"""with {O.sides('orders')}, r as ({_number_range(_ORDER_NUMBERS)}), t as (select *, {_WHOLE} as recommended_type,
+  case when lo between -32768 and 32767 and hi between -32768 and 32767 then 'SMALLINT' when lo >= -2147483648 and hi <= 2147483647 then 'INTEGER' else 'BIGINT' end as fit from r),
+k as (select *, column_name = 'o_orderkey' and fit in ('SMALLINT', 'INTEGER') as held from t),
+d as (select column_name, held, case when held then 'BIGINT' else fit end as target_type, recommended_type, fractions, case column_name when 'o_orderkey' then (select sum(o_orderkey) from src) <> (select sum(o_orderkey) from tgt)
+  when 'o_custkey' then (select sum(o_custkey) from src) <> (select sum(o_custkey) from tgt) else (select sum(o_totalprice) from src) <> (select sum(o_totalprice) from tgt) end as unequal,
+  case column_name when 'o_totalprice' then (select count(*) from tgt where o_totalprice % 1 <> 0) else 0 end as loss,
+  (select count(*) from ({_FAILED}) where not match) > 0 as bad from k)
+select column_name, target_type, false as can_downcast, array_to_string(list_filter([case when fractions > 0 or column_name = 'o_totalprice' then 'HAS_FRACTION' end, case when held then 'PK_FK_BIGINT_MAINTAIN' end,
+  case when unequal then 'TOLERANCE_EXCEEDED' end, case when unequal then 'SUM_MISMATCH' end, case when bad then 'HASH_MISMATCH' end, case when loss > 0 then 'CAST_LOSS' end], lambda x: x is not null), ',') as reasons from d""")
+def downcast_candidates(spark, sf):
+    p = load(spark, sf, "orders")
+    found = R.candidates(p, "public", "orders", K.compare_chunks(p, SIZE), _ORDER_NUMBERS, R.Keys(pk=("o_orderkey",)))
+    return found.select("column_name", "target_type", "can_downcast", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""select * from (values ('l_quantity', 'NUMERIC(18,2)', 'SMALLINT', 'ALTER TABLE "public"."lineitem" ALTER COLUMN "l_quantity" TYPE SMALLINT USING "l_quantity"::smallint;')) v(column_name, current_type, final_type, ddl)""")
+def alter_ddl(spark, sf):
+    return R.alter_ddl(load(spark, sf, "lineitem"), "public", "lineitem", ["l_quantity", "l_extendedprice", "l_orderkey"])
+
+
+@query("""select * from (values ('l_quantity', 'NUMERIC(18,2)', 'SMALLINT'), ('l_orderkey', 'BIGINT', (select case when max(l_orderkey) <= 32767 then 'SMALLINT' else 'INTEGER' end from lineitem)), ('l_extendedprice', 'NUMERIC(18,2)', 'NUMERIC'), ('l_shipdate', 'TIMESTAMP', 'DATE')) v(column_name, current_type, recommended_type)""")
+def changeable_columns(spark, sf):
+    return R.changeable(load(spark, sf, "lineitem"), ["l_quantity", "l_orderkey", "l_extendedprice", "l_shipdate"]).select("column_name", "current_type", "recommended_type")
+
+
+# --- type map and statements -------------------------------------------------------------------------------
+
+#: Source types and what they become.
+_TYPES = (
+    ("CLOB", None, None, None, "TEXT"), ("NCLOB", None, None, None, "TEXT"), ("LONG", None, None, None, "TEXT"), ("XMLTYPE", None, None, None, "XML"),
+    ("VARCHAR2", 30, None, None, "VARCHAR(30)"), ("NVARCHAR2", None, None, None, "VARCHAR"), ("CHAR", 3, None, None, "CHAR(3)"), ("NCHAR", None, None, None, "CHAR"),
+    ("BLOB", None, None, None, "BYTEA"), ("RAW", 16, None, None, "BYTEA"), ("LONG RAW", None, None, None, "BYTEA"),
+    ("NUMBER", None, None, None, "NUMERIC"), ("NUMBER", None, 4, 0, "SMALLINT"), ("NUMBER", None, 9, None, "INTEGER"), ("NUMBER", None, 18, 0, "BIGINT"), ("NUMBER", None, 19, 0, "NUMERIC(19)"), ("NUMBER", None, 15, 5, "NUMERIC(15,5)"), ("NUMBER", None, 5, -2, "NUMERIC"),
+    ("FLOAT(126)", None, None, None, "DOUBLE PRECISION"), ("BINARY_FLOAT", None, None, None, "REAL"), ("BINARY_DOUBLE", None, None, None, "DOUBLE PRECISION"),
+    ("DATE", None, None, None, "TIMESTAMP"), ("TIMESTAMP(6)", None, None, None, "TIMESTAMP"), ("TIMESTAMP(6) WITH TIME ZONE", None, None, None, "TIMESTAMP WITH TIME ZONE"), ("TIMESTAMP(3) WITH LOCAL TIME ZONE", None, None, None, "TIMESTAMP WITH TIME ZONE"),
+    ("INTERVAL DAY(2) TO SECOND(6)", None, None, None, "INTERVAL"), ("ROWID", None, None, None, "CHAR(18)"), ("UROWID", None, None, None, "VARCHAR(4000)"), ("SDO_GEOMETRY", None, None, None, "GEOMETRY(GEOMETRY,4326)"), ("ANYDATA", None, None, None, "TEXT"),
+)
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
+
+
+@query(f"select data_type, data_length::int as data_length, data_precision::int as data_precision, data_scale::int as data_scale, target_type from (values {_values(_TYPES)}) v(data_type, data_length, data_precision, data_scale, target_type)")
+def type_map_lookup(spark, sf):
+    rows = spark.createDataFrame([r[:4] for r in _TYPES], "data_type string, data_length int, data_precision int, data_scale int").withColumn("column_name", F.lit("c"))
+    return D.column_types(rows).select("data_type", "data_length", "data_precision", "data_scale", "target_type")
+
+
+#: Precision, scale, fractions in the data, type.
+_NUMBER_TYPES = ((None, None, False, "NUMERIC"), (4, 0, False, "SMALLINT"), (5, 0, False, "INTEGER"), (9, None, False, "INTEGER"), (10, 0, False, "BIGINT"), (18, 0, False, "BIGINT"), (19, 0, False, "NUMERIC(19)"), (10, 2, False, "NUMERIC(10,2)"), (10, 0, True, "NUMERIC(10)"), (None, 2, True, "NUMERIC"))
+
+
+@query(f"select p::int as p, s::int as s, d, t from (values {_values(_NUMBER_TYPES)}) v(p, s, d, t)")
+def number_type_map(spark, sf):
+    return spark.createDataFrame([(p, s, d, typemap.number_type(p, s, d)) for p, s, d, _ in _NUMBER_TYPES], "p int, s int, d boolean, t string")
+
+
+@query("""select 'public' as schema_name, 'part' as table_name, 'CREATE TABLE IF NOT EXISTS "public"."part" (' || chr(10) || '    "p_partkey" BIGINT,' || chr(10) || '    "p_name" TEXT,' || chr(10) || '    "p_brand" TEXT,' || chr(10) || '    "p_type" TEXT,' || chr(10) ||
+ '    "p_size" BIGINT,' || chr(10) || '    "p_retailprice" NUMERIC(18,4)' || chr(10) || ');' as ddl""")
+def create_table_ddl(spark, sf):
+    return D.create_table(D.dictionary(load(spark, sf, "part").source, "public", "part"), ("p_partkey",))
+
+
+@query("""select 'public' as schema_name, 'conversations' as table_name, 'ALTER TABLE "public"."conversations" ADD CONSTRAINT "pk_conversations" PRIMARY KEY ("conv_id", "turn");' as ddl
+union all select 'public', 'orders', 'ALTER TABLE "public"."orders" ADD CONSTRAINT "pk_orders" PRIMARY KEY ("o_orderkey");'""")
+def primary_key_ddl(spark, sf):
+    rows = [("public", "conversations", "PK_CONVERSATIONS", "TURN", 2), ("public", "conversations", "PK_CONVERSATIONS", "CONV_ID", 1), ("public", "orders", "PK_ORDERS", "O_ORDERKEY", 1)]
+    return D.primary_key(spark.createDataFrame(rows, "schema_name string, table_name string, constraint_name string, column_name string, position int"))
+
+
+# --- partitions --------------------------------------------------------------------------------------------
+
+_DAYS = "select strftime(ts, '%Y%m%d') as d, min(date_trunc('day', ts)) as lo, min(date_trunc('day', ts)) + interval 1 day as hi from events group by 1"
+IMMUTABLE = "2024-01-15"
+
+
+def _ranges(spark, sf) -> DataFrame:
+    """The days of events as partition rows."""
+    days = table(spark, sf, "events").select(F.to_date("ts").alias("d")).distinct()
+    return days.select(
+        F.concat(F.lit("P"), F.date_format("d", "yyyyMMdd")).alias("partition_name"),
+        F.row_number().over(Window.orderBy("d")).alias("partition_position"),
+        F.concat(F.lit("TO_DATE(' "), F.date_format(F.date_add("d", 1), "yyyy-MM-dd"), F.lit(" 00:00:00', 'SYYYY-MM-DD HH24:MI:SS', 'NLS_CALENDAR=GREGORIAN')")).alias("high_value"),
+        F.concat(F.lit("FOR VALUES FROM ('"), F.date_format("d", "yyyy-MM-dd"), F.lit("') TO ('"), F.date_format(F.date_add("d", 1), "yyyy-MM-dd"), F.lit("')")).alias("partition_bound"),
+    )
+
+
+@query(f"""with p as ({_DAYS}) select 'P' || d as partition_name, row_number() over (order by d)::int as position, lag(strftime(hi, '%Y-%m-%d %H:%M:%S')) over (order by d) as range_start, strftime(hi, '%Y-%m-%d %H:%M:%S') as range_end from p""")
+def partition_ranges_lag(spark, sf):
+    return P.source_ranges(_ranges(spark, sf))
+
+
+@query(f"""with p as ({_DAYS}) select 'P' || d as partition_name, strftime(lo, '%Y-%m-%d') as range_start, strftime(hi, '%Y-%m-%d') as range_end from p
+union all select 'LIST', 'A', 'C' union all select 'OPEN', null, '2024-01-01'""")
+def partition_bound_parse(spark, sf):
+    more = spark.createDataFrame([("LIST", "FOR VALUES IN ('A', 'B', 'C')"), ("OPEN", "FOR VALUES FROM (MINVALUE) TO ('2024-01-01')")], "partition_name string, partition_bound string")
+    return P.target_ranges(_ranges(spark, sf).select("partition_name", "partition_bound").unionByName(more))
+
+
+@query(f"""with p as ({_DAYS}), s as (select lower('P' || d) as partition_name, lag(strftime(hi, '%Y-%m-%d %H:%M:%S')) over (order by d) as a, strftime(hi, '%Y-%m-%d %H:%M:%S') as range_end, strftime(lo, '%Y-%m-%d') as b from p)
+select partition_name, coalesce(a, b) as range_start, range_end from s where partition_name <> 'p20240103'""")
+def partition_match(spark, sf):
+    r = _ranges(spark, sf)
+    return P.matched(P.source_ranges(r), P.target_ranges(r.where("partition_name <> 'P20240103'")))
+
+
+@query(f"with p as ({_DAYS}) select lower('P' || d) as partition_name, case when hi < timestamp '{IMMUTABLE}' then 'light' else 'full' end as strategy from p")
+def partition_strategy(spark, sf):
+    r = _ranges(spark, sf)
+    return P.with_strategy(P.matched(P.source_ranges(r), P.target_ranges(r)), IMMUTABLE).select("partition_name", "strategy")
+
+
+@query(f"""with p as ({_DAYS}), s as (select 'p' || d as partition_name, strftime(lo, '%Y-%m-%d') as b, lag(strftime(hi, '%Y-%m-%d %H:%M:%S')) over (order by d) as a, strftime(hi, '%Y-%m-%d %H:%M:%S') as e from p)
+select partition_name, '(value > 0) AND `ts` >= ''' || coalesce(a, b) || ''' AND `ts` < ''' || e || '''' as predicate from s""")
+def partition_tasks(spark, sf):
+    r = _ranges(spark, sf)
+    return P.tasks(P.matched(P.source_ranges(r), P.target_ranges(r)), "ts", IMMUTABLE, "value > 0").select("partition_name", "predicate")
+
+
+@query("select 'p' || strftime(ts, '%Y%m%d') as partition_name, count(*) as rows from events group by 1")
+def partition_assign(spark, sf):
+    r = _ranges(spark, sf)
+    ranges = P.matched(P.source_ranges(r), P.target_ranges(r))
+    return P.assigned(table(spark, sf, "events").select("ts"), "ts", ranges).groupBy("partition_name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _events_by_day(spark, sf) -> DataFrame:
+    p = load(spark, sf, "events")
+    dated = TablePair(P.daily(p.source, "ts"), P.daily(p.target, "ts"), p.keys)
+    found = K.compare_chunks(dated, SIZE, columns=O.columns("events", False), by=("partition_name",))
+    r = _ranges(spark, sf)
+    ranges = P.with_strategy(P.matched(P.source_ranges(r), P.target_ranges(r)), IMMUTABLE)
+    return P.summary(found.join(F.broadcast(ranges.select("partition_name", "strategy")), "partition_name"))
+
+
+_BY_DAY = O.chunk_compare("events", f"cast(floor(event_id / {SIZE}) as bigint)", "'p' || strftime(ts, '%Y%m%d') as partition_name")
+_SUMMARY = f"""select partition_name, case when strptime(partition_name, 'p%Y%m%d') + interval 1 day < timestamp '{IMMUTABLE}' then 'light' else 'full' end as strategy, count(*) as chunks, sum(source_rows)::bigint as rows, bool_and(match) as hash_ok
+from ({_BY_DAY}) group by all"""
+
+
+@query(_SUMMARY)
+def partition_summary(spark, sf):
+    return _events_by_day(spark, sf)
+
+
+@query(f"select count(*) as total_partitions, count(*) filter (where hash_ok and strategy = 'full') as fully_verified, count(*) filter (where hash_ok and strategy = 'light') as light_verified, count(*) filter (where not hash_ok) as failed from ({_SUMMARY})")
+def partition_totals(spark, sf):
+    return P.totals(_events_by_day(spark, sf))
+
+
+@query(f"select count(*) as total_chunks, count(*) filter (where match) as matched_chunks, count(*) filter (where not match) as mismatched_chunks, count(*) filter (where match) / count(*) as match_rate from ({_FAILED})")
+def validation_summary(spark, sf):
+    from tallyframe.plans.report import chunk_totals
+
+    return chunk_totals(K.compare_chunks(load(spark, sf, "orders"), SIZE))
+
+
+# --- large objects -----------------------------------------------------------------------------------------
+
+
+def _lob(side: str, column: str) -> str:
+    value = f"case when length({column}) <= 1024 then {column} else substr({column}, 1, 1024) || substr({column}, length({column}) - 1023) end"
+    h = f"select sha256(cast(length({column}) as varchar) || ':' || sha256({value})) as h, length({column}) as n from {side}"
+    return f"(select sum(c)::bigint as c, sum(t)::bigint as t, sha256(string_agg(d, '' order by p)) as d from (select substr(h, 1, 3) as p, sha256(string_agg(h, '' order by h)) as d, count(*) as c, sum(n) as t from ({h}) group by 1))"
+
+
+@query(f"with {O.sides('documents')}, s as {_lob('src', 'text')}, t as {_lob('tgt', 'text')} select s.c as source_row_count, t.c as target_row_count, s.t as source_total_length, t.t as target_total_length, s.d as source_digest, t.d as target_digest, s.d = t.d and s.t = t.t as match from s, t")
+def lob_sample_hash_documents(spark, sf):
+    return lob.compare_lob(load(spark, sf, "documents"), "text")
+
+
+@query(f"with s as {_lob('pages', 'html')} select s.c as row_count, 0::bigint as null_count, s.t as total_length, s.d as digest from s")
+def lob_sample_hash_pages(spark, sf):
+    return lob.lob_digest(table(spark, sf, "pages"), "html")
+
+
+@query("select page_id, 'LEN:' || length(html) || ':' || substr(html, 1, 100) as html_text, 'LEN:' || strlen(html) || ':' || substr(lower(hex(html)), 1, 100) as html_bytes from pages")
+def lob_prefix_canonical(spark, sf):
+    return table(spark, sf, "pages").select("page_id", C.lob_text(F.col("html")).alias("html_text"), C.lob_bytes(F.col("html").cast("binary")).alias("html_bytes"))
+
+
+# --- copies ------------------------------------------------------------------------------------------------
+
+
+@query()
+def migrate_roundtrip(spark, sf):
+    import uuid
+
+    from tallyframe.sources.migrate import migrate
+
+    name = f"migrated_{uuid.uuid4().hex[:12]}"
+    part = table(spark, sf, "part")
+    try:
+        done = migrate(part, lambda df, mode: df.write.mode(mode).saveAsTable(name), lambda: spark.table(name), ("p_partkey",), truncate=True)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.createDataFrame([(done.source_rows, done.target_rows, done.counts_match, done.hashes_match, done.aggregates_match)], "source_rows long, target_rows long, counts_match boolean, hashes_match boolean, aggregates_match boolean")
 
 
-def oracle_sql():
-    return {}
