@@ -72,3 +72,9 @@ def row_text(schema: T.StructType, columns: list[str], policy: str = "distinct",
     if strict:
         parts = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
     return F.concat_ws(SEPARATOR, *parts)
+
+
+def canonical_columns(schema: T.StructType, columns: list[str] | None = None, policy: str = "distinct") -> list[Column]:
+    """The canonical text of each column under its own name: a select list made from a schema."""
+    wanted = {c.lower() for c in columns} if columns else None
+    return [canonical(f, F.col(f.name), policy).alias(f.name) for f in schema.fields if wanted is None or f.name.lower() in wanted]

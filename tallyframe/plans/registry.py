@@ -132,6 +132,12 @@ def canonical_number_unscaled(spark, sf):
     return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.canonical(s.schema["l_extendedprice"], F.col("l_extendedprice")).alias("price_text"))
 
 
+@query(f"with {O.sides('part')} select {', '.join(f'{O.text(c)} as {c}' for c in O.columns('part'))} from src")
+def canonical_columns_part(spark, sf):
+    s = load(spark, sf, "part").source
+    return s.select(*C.canonical_columns(s.schema))
+
+
 def _policy(policy: str) -> None:
     def run(spark, sf):
         t = load(spark, sf, "orders").target
