@@ -40,7 +40,7 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
     |<(script|style|noscript|template|iframe|svg|canvas|object|select|textarea|title|math)\b[^>]*>.*?(?:</\1\s*>|\Z)
     |<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*)>
-    |<[/!?a-zA-Z][^>]*>
+    |<[/!?a-zA-Z][^>]*(?:>|\Z)
     |[^<]+|<""",
     re.S | re.I | re.X,
 )
