@@ -6,9 +6,10 @@ overlap of the sets from above, and so do those of a point and the upper corner
 leaves are verified on the sets themselves: 100 * intersection >= percent * union, in integers.
 
 The tree's root level has to send no pair of links apart and yet not every point everywhere. Linked sets of a and b
-shingles differ in at most D = (a + b)(100 - percent) / (100 + percent) of them, so if hash ranges cut them into D + 1 segments, one segment is the same in both:
+shingles differ in at most D = (a + b)(100 - percent) / (100 + percent) of them, so if hash ranges cut them into more than D segments, one segment is the same in both:
 the cells are the contents of a segment, and linked documents meet in a cell for certain. D depends on the size, so
-sizes are cut into bands one link wide and each document stands in the cells of its own band and the next.
+sizes are cut into bands, and a document stands in the cells of its own band and, if it can link there, the next.
+There are some segments more than D + 1, so each document leaves out those of its segments that hold least.
 
 1. One pass over the texts gives each document its size, digest, point and cells; texts do not move.
    Equal sets become one class (any number of exact copies is one row from here on).
@@ -19,8 +20,6 @@ sizes are cut into bands one link wide and each document stands in the cells of
    leave, go through the bound; what remains is verified. Pairs within a component need no test, so a group of
    near copies costs its size, not its square, and no link between components is missed.
 
-Segments that are empty in both of two small documents are a cell like any other, only less selective.
-
 Defined cases: with fewer words than a shingle has, the whole sequence is the one shingle; null text and text
 without words have the empty set, link with nothing and are components of their own. Repeated rows are rows of one class. A null doc_id is
 never a component's smallest id unless all are null. An empty table gives an empty result. Columns other than doc_id
@@ -49,38 +48,60 @@ _ranges: dict[int, np.ndarray] = {}
 
 
 def bands(percent: int) -> np.ndarray:
-    """Where bands of sizes begin; a size and the smallest it can link with are in one band or neighbours."""
+    """Where bands of sizes begin: each is at least twice the last and wide enough that linked sizes are in one band or neighbours."""
     if percent not in _bands:
         out = [1]
         while out[-1] < 2**40:
-            out.append(out[-1] * 100 // percent + 1)
+            out.append(max(2 * out[-1], out[-1] * 100 // percent + 1))
         _bands[percent] = np.array(out)
     return _bands[percent]
 
 
+def most_different(a: int, b: int, percent: int) -> int:
+    """In how many shingles linked sets of a and b may differ at most."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
 def segments(band: int, percent: int) -> int:
+    """Segments in a band: one more than sets in it may differ in, and some to spare for those with few shingles."""
     largest = int(bands(percent)[band + 1]) - 1
-    return 2 * largest * (100 - percent) // (100 + percent) + 1
+    least = most_different(largest, largest, percent) + 1
+    return least + max(2, least // 5)
 
 
 def _range_starts(m: int) -> np.ndarray:
     if m not in _ranges:
-        if len(_ranges) > 5000:
-            _ranges.clear()
         _ranges[m] = np.array([(j << 64) // m for j in range(1, m)], dtype=np.uint64)
     return _ranges[m]
 
 
 def cells(s: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a sorted set in its own band and the next, as 64-bit numbers."""
-    band = int(np.searchsorted(bands(percent), len(s), side="right")) - 1
+    """The cells of a sorted set as 64-bit numbers: in its own band, and in the next if sets there can link with it.
+
+    Of the m segments at most D spoil, so m - D are equal, and as many as m - D - 1 may be left out: those with the fewest
+    shingles, which say least. Equal segments have equally many, so both sides of a link leave the same ones out or
+    the side that leaves out more still has one that the other has.
+    """
+    n = len(s)
+    starts = bands(percent)
+    band = int(np.searchsorted(starts, n, side="right")) - 1
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s))])
     out = []
     for k in (band, band + 1):
+        if n * 100 < percent * int(starts[k]):
+            continue
+        d = most_different(n, min(n * 100 // percent, int(starts[k + 1]) - 1), percent)
+        if not d:  # only an equal set links, and that is the same class
+            continue
         m = segments(k, percent)
-        at = np.concatenate([[0], np.searchsorted(s, _range_starts(m)), [len(s)]])
-        out.append(mixed((total[at[1:]] - total[at[:-1]]) ^ mixed(np.arange(m, dtype=np.uint64) + np.uint64(k << 40))))
-    return np.concatenate(out)
+        at = np.concatenate([[0], np.searchsorted(s, _range_starts(m)), [n]])
+        size = np.diff(at)
+        spare = m - d - 1
+        fewest = int(np.partition(size, spare)[spare])  # what is smaller than this is spared
+        taken = np.flatnonzero(size >= fewest)
+        content = total[at[taken + 1]] - total[at[taken]]
+        out.append(mixed(content ^ mixed(taken.astype(np.uint64) + np.uint64(k << 40))))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def point(s: np.ndarray) -> np.ndarray:
