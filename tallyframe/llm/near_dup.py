@@ -104,18 +104,26 @@ def cells(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the set by the lowest bits of its hashes: about one group for two shingles, none over 255."""
+def point(s: np.ndarray) -> bytes:
+    """Counts of the set by the lowest bits of its hashes, a group or more for each shingle, two groups in a byte."""
     groups = 16
-    while groups < len(s) / 2:
+    while groups < len(s):
         groups *= 2
     while True:
         counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-        if counts.max(initial=0) <= 255:
-            return counts.astype(np.uint8)
+        if counts.max(initial=0) <= 15:
+            return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
         groups *= 2
 
 
+def counts_of(p) -> np.ndarray:
+    """The counts that point() has packed."""
+    packed = np.frombuffer(p, np.uint8)
+    out = np.empty(2 * len(packed), dtype=np.uint8)
+    out[0::2], out[1::2] = packed & 15, packed >> 4
+    return out
+
+
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
     """A point with fewer groups: counts of the shorter hash."""
     return p.reshape(-1, groups).sum(axis=0, dtype=np.uint16)
@@ -144,7 +152,7 @@ def documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 for text in part.column(3):
                     s = shingle_set(text.as_py(), words)
                     d1, d2 = digests(s)
-                    for column, value in zip(cols, (len(s), d1, d2, point(s).tobytes() if len(s) else None, cells(s, percent).tobytes() if len(s) else None), strict=True):
+                    for column, value in zip(cols, (len(s), d1, d2, point(s) if len(s) else None, cells(s, percent).tobytes() if len(s) else None), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c, t) for c, t in zip(cols, _DOCS_ARROW.types[3:], strict=True))], schema=_DOCS_ARROW)
 
@@ -191,7 +199,7 @@ def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int)
         for batch in batches:
             keep = []
             for k in range(batch.num_rows):
-                p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in (3, 5))
+                p, q = (counts_of(batch.column(c)[k].as_buffer()) for c in (3, 5))
                 g = min(len(p), len(q))
                 keep.append(bool(may_link(int(np.minimum(folded(p, g), folded(q, g)).sum()), batch.column(2)[k].as_py(), batch.column(4)[k].as_py(), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
@@ -247,7 +255,7 @@ def _leaves(percent: int):
 
         def pack(more: bool):
             cls, comp, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
-            points = [np.frombuffer(r[3], np.uint8) for r in rows]
+            points = [counts_of(r[3]) for r in rows]
             out.extend((a, b, *[None] * 7) for a, b in _leaf_pairs(cls, comp, n, points, percent))
             if more:
                 g = min(len(p) for p in points)
