@@ -40,7 +40,7 @@ from tallyframe.llm.shingles import mixed, shingle_set
 WORDS, PERCENT = 5, 80
 LEAF, NODE = 2048, 32
 #: Documents in shared cells whose ids are broadcast to fetch their texts; with more, texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 HOT_SHARE = 0.001
 
 _bands: dict[int, np.ndarray] = {}
@@ -191,6 +191,46 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cls)], schema=schema)
 
 
+def _tries(batches):
+    """From rows sorted by (cell, cls): each class with the first and the one before it of its cell; and of the cells at both ends of the task
+    (edge) their first and last class, as their rows may go on in another task."""
+    schema = pa.schema([("edge", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    edges: list[tuple[int, int, int]] = []
+    open_ = None  # cell, first and last class of the cell that goes on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, cls = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        first = np.repeat(cls[start], np.diff(np.append(start, len(cls))))
+        before = np.concatenate([cls[:1], cls[:-1]])
+        before[start] = cls[start]
+        end = start[1] if len(start) > 1 else len(cls)
+        if open_ and open_[0] == cell[0]:
+            first[:end], before[0] = open_[1], open_[2]
+        elif open_ and not edges:
+            edges.append(open_)
+        if len(start) > 1 and not edges:
+            edges.append((int(cell[0]), int(first[0]), int(cls[end - 1])))
+        open_ = (int(cell[-1]), int(first[-1]), int(cls[-1]))
+        a, b = np.concatenate([first, before[before != first]]), np.concatenate([cls, cls[before != first]])
+        a, b = a[a != b], b[a != b]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], schema=schema)
+    if open_:
+        edges.append(open_)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], schema=schema)
+
+
+def tries(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) to try first; members is sorted by (cell, cls) over its tasks."""
+    found = cut(members.mapInArrow(_tries, "edge long, a long, b long"))
+    ends = Window.partitionBy("edge").orderBy("a")  # at most two rows a task
+    across = found.where("edge is not null").select("a", F.array(F.first("a").over(ends), F.lag("b").over(ends)).alias("others"))
+    across = across.select("a", F.explode("others").alias("other")).where("other <> a")
+    both = found.where("edge is null").select("a", "b").unionByName(across.select(F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b")))
+    return both.distinct()
+
+
 def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: first by the bound of their points, then by their sets."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -364,16 +404,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     own = rows.select(F.col("row").alias("cls"), "doc_id", "n", "point", "cells").join(classes.select("cls"), "cls", "left_semi")
     listed = own.select("cls", "cells").mapInArrow(_listed, "cell long, cls long")
     members = cut(listed.repartitionByRange("cell", "cls").sortWithinPartitions("cell", "cls").mapInArrow(_shared, "cell long, cls long"))
-    shared = members.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cell")
-    members = cut(members.join(shared, "cell"))
     met = members.select("cls").distinct()
     points = cut(own.join(met, "cls", "left_semi").select("cls", "doc_id", "n", "point"))
     sets = cut(_sets(docs, points, classes, words))
 
-    in_cell = Window.partitionBy("cell").orderBy("cls")
-    tries = members.select("cls", F.array(F.first("cls").over(in_cell), F.lag("cls").over(in_cell)).alias("others"))
-    tries = tries.select("cls", F.explode("others").alias("a")).where("a < cls").select("a", F.col("cls").alias("b")).distinct()
-    links = cut(verified(tries, points, sets, percent))
+    links = cut(verified(tries(members), points, sets, percent))
     more = cut(verified(cross_pairs(members, components(links), points, percent), points, sets, percent))
     links = links.unionByName(more)
     found = components(links)
