@@ -86,11 +86,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; their results are written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. Each result is written to the shared folder; once the next is written it goes, the last one stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        before = path
     return docs
