@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,12 +297,11 @@ def _leaves(percent: int):
         def pack(more: bool):
             cls, comp, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
             points = [counts_of(r[3]) for r in rows]
-            out.extend((a, b, *[None] * 7) for a, b in _leaf_pairs(cls, comp, n, points, percent))
+            out.extend((a, b, *[None] * 7) for a, b in once(_leaf_pairs(cls, comp, n, points, percent)))
             if more:
                 g = min(len(p) for p in points)
                 grid = np.stack([folded(p, g) for p in points])
-                body = np.concatenate([np.array([len(cls), g]), cls, comp, n]).astype(np.int64).tobytes() + grid.tobytes()
-                out.append((None, None, cell, number, int(comp[0]), int(comp[-1]), int(n.min()), grid.max(axis=0).tobytes(), body))
+                out.append((None, None, cell, number, int(comp[0]), int(comp[-1]), int(n.min()), grid.max(axis=0).tobytes(), _body(cls, comp, n, grid)))
 
         def given():
             got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _LEAVES_ARROW.types, strict=True)], schema=_LEAVES_ARROW)
@@ -309,6 +309,7 @@ def _leaves(percent: int):
             return got
 
         numbered = 0
+        once = _Once()
         for batch in batches:
             cells_, cls_, comp_, n_ = (batch.column(k).to_pylist() for k in range(4))
             for k in range(batch.num_rows):
@@ -333,21 +334,46 @@ def _leaves(percent: int):
     return run
 
 
+def _body(cls, comp, n, grid) -> bytes:
+    """A leaf as compressed bytes."""
+    small = grid.astype(np.uint8) if grid.max() < 256 else grid
+    head = np.array([len(cls), grid.shape[1], small.itemsize])
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([head, cls, comp, n]).astype(np.int64).tobytes() + small.tobytes())
+
+
 def _unpacked(body: bytes):
-    count, g = np.frombuffer(body, np.int64, 2)
-    cls, comp, n = (np.frombuffer(body, np.int64, count, 16 + 8 * count * k) for k in range(3))
-    return cls, comp, n, np.frombuffer(body, np.uint16, count * g, 16 + 24 * count).reshape(count, g)
+    body = zstandard.ZstdDecompressor().decompress(body)
+    count, g, width = np.frombuffer(body, np.int64, 3).tolist()
+    cls, comp, n = (np.frombuffer(body, np.int64, count, 24 + 8 * count * k) for k in range(3))
+    grid = np.frombuffer(body, np.uint8 if width == 1 else np.uint16, count * g, 24 + 24 * count).reshape(count, g)
+    return cls, comp, n, grid.astype(np.uint16)
+
+
+class _Once:
+    """Lets a pair through once; forgets at a bound, as pairs are made distinct afterwards anyway."""
+
+    def __init__(self, most: int = 500_000):
+        self.seen: set = set()
+        self.most = most
+
+    def __call__(self, pairs):
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        new = [p for p in dict.fromkeys((min(p), max(p)) for p in pairs) if p not in self.seen]
+        self.seen.update(new)
+        return new
 
 
 def _between(percent: int):
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        once = _Once()
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 one, two = _unpacked(x.as_py()), _unpacked(y.as_py())
                 g = min(one[3].shape[1], two[3].shape[1])
                 grids = [t[3].reshape(len(t[0]), -1, g).sum(axis=1, dtype=np.uint16) for t in (one, two)]
-                got = _cross(*one[:3], grids[0], *two[:3], grids[1], percent, False)
+                got = once(_cross(*one[:3], grids[0], *two[:3], grids[1], percent, False))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], schema=schema)
 
     return run
