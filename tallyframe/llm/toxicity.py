@@ -8,7 +8,7 @@ jointly in numpy. A text is as toxic as its most toxic window, in training too,
 much in a long text as in a short one, and a misspelling shares most of its subwords with what was learnt.
 
 Trained on the driver with a bounded sample: of the labelled rows outside the held-out fold, the SAMPLE
-toxic rows and CLEAN times as many others that come first by a hash of doc_id, texts of at most SAMPLE_CHARS characters. A model is
+toxic rows and CLEAN times as many others that come first by a hash of doc_id, texts of at most SAMPLE_CHARS characters before those of at most LONGEST, SAMPLE_TOTAL characters in all. A model is
 as large at any size of the corpus (2**BUCKET_BITS numbers once embeddings and softmax are multiplied out). Scoring is
 one pass over whole texts without a shuffle, in slices of SLICE bytes.
 
@@ -31,7 +31,7 @@ BUCKET_BITS, DIM = 18, 8
 GRAMS = (3, 4, 5)
 WINDOW = 12
 SLICE = 1 << 17
-SAMPLE, CLEAN, SAMPLE_CHARS = 800, 4, 2500
+SAMPLE, CLEAN, SAMPLE_CHARS, LONGEST, SAMPLE_TOTAL = 800, 4, 2500, 20_000, 6_000_000
 ROUNDS, STEPS, RATE, DECAY = 12, 25, 0.3, 2e-8
 #: A window counts as if it had this many more subwords that say nothing.
 PRIOR = 10
@@ -218,15 +218,22 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     return np.where(seen, e @ w, 0.0), float(b)  # subwords that no training text holds say nothing
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[int]]:
     """Texts and labels of at most size toxic and CLEAN * size other rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(crc32_of_id(F.col("doc_id")) % FOLDS != HELD_OUT).dropDuplicates(["doc_id"])
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("y = 1").orderBy(*order).limit(size).unionByName(known.where("y = 0").orderBy(*order).limit(CLEAN * size))  # at most (1 + CLEAN) * size ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars)
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(*order, "text").select("text", "y").limit(2 * (1 + CLEAN) * size).collect()
-    return [r.text for r in rows], [r.y for r in rows]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= LONGEST)
+    lengths = texts.select("doc_id", (F.length("text") > SAMPLE_CHARS).alias("long")).join(known, "doc_id").groupBy("doc_id", "y").agg(F.max("long").alias("long"))
+    order = [F.col("long"), F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = lengths.where("y = 1").orderBy(*order).limit(size).unionByName(lengths.where("y = 0").orderBy(*order).limit(CLEAN * size))  # at most (1 + CLEAN) * size ids
+    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(*order, "text").select("text", "y").limit(2 * (1 + CLEAN) * size).toLocalIterator()
+    kept, room = [], SAMPLE_TOTAL
+    for r in rows:
+        room -= len(r.text)
+        if room < 0:
+            break
+        kept.append(r)
+    return [r.text for r in kept], [r.y for r in kept]
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
