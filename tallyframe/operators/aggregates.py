@@ -32,17 +32,31 @@ def metric_text(kind: T.DataType, c: Column, scale: int) -> Column:
     return c.cast("string")
 
 
+def two_passes(df: DataFrame, plain: list[Column], distinct: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Aggregates and counts of distinct values side by side. Together in one aggregation, every row would be copied for every distinct
+    count with all other aggregates' state; apart, the copies hold one value each."""
+    one, two = ((df.groupBy(*by) if by else df.groupBy()).agg(*a) for a in (plain, distinct))
+    if not by:
+        return one.withColumn("__one", F.lit(1)).join(two.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    two = two.withColumnsRenamed({b: f"__by_{b}" for b in by})
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
+    return one.join(two, on).drop(*[f"__by_{b}" for b in by])
+
+
 def column_aggregates(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_scale: int = 6, approximate: bool = False) -> DataFrame:
     """by..., column_name and the METRICS as text, a row for each column.
 
     Counts of distinct values are exact unless approximate is asked for; sums that exceed 38 digits are null.
     """
-    aggregates, structs = [F.count(F.lit(1)).alias("__count")], []
+    aggregates, distincts, structs = [F.count(F.lit(1)).alias("__count")], [], []
     for k, name in enumerate(columns):
         kind, c = df.schema[name].dataType, F.col(name)
         scale = scale_of(kind, float_scale)
         distinct = F.approx_count_distinct(c) if approximate else F.countDistinct(c)
-        aggregates += [F.min(c).alias(f"__min{k}"), F.max(c).alias(f"__max{k}"), distinct.alias(f"__distinct{k}")]
+        aggregates += [F.min(c).alias(f"__min{k}"), F.max(c).alias(f"__max{k}")]
+        distincts.append(distinct.alias(f"__distinct{k}"))
         total = average = F.lit(None).cast("string")
         if numeric(kind):
             exact = c.cast(f"decimal({min(38, 20 + scale)},{scale})")
@@ -61,7 +75,7 @@ def column_aggregates(df: DataFrame, columns: list[str], by: tuple[str, ...] = (
                 average.alias("avg"),
             )
         )
-    wide = df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
+    wide = two_passes(df, aggregates, distincts, by)
     return wide.select(*by, F.explode(F.array(*structs)).alias("s")).select(*by, "s.*")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.typemap import RANGES
-from tallyframe.operators.aggregates import metric_text, numeric, scale_of
+from tallyframe.operators.aggregates import metric_text, numeric, scale_of, two_passes
 from tallyframe.operators.pair import TablePair
 
 WIDE = "decimal(38,10)"
@@ -53,12 +53,13 @@ def eight_digit_day(kind: T.DataType, c: Column, strict: bool = True) -> Column:
 
 def profile(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_scale: int = 6, strict_days: bool = True) -> DataFrame:
     """by..., column_name, row_count, null_count, distinct_count, min_value, max_value, fraction_row_count, sum_value, non_zero_time_count,
-    day_count (values that read as dates), null_ratio, distinct_ratio; a row for each column, from one pass."""
-    out, structs = [F.count(F.lit(1)).alias("__rows")], []
+    day_count (values that read as dates), null_ratio, distinct_ratio; a row for each column."""
+    out, distincts, structs = [F.count(F.lit(1)).alias("__rows")], [], []
     for k, name in enumerate(columns):
         kind, c = df.schema[name].dataType, F.col(name)
         scale = scale_of(kind, float_scale)
-        out += [F.count_if(c.isNull()).alias(f"__null{k}"), F.countDistinct(c).alias(f"__distinct{k}"), F.min(c).alias(f"__min{k}"), F.max(c).alias(f"__max{k}"), F.count_if(timed(kind, c)).alias(f"__timed{k}"), F.count_if(eight_digit_day(kind, c, strict_days)).alias(f"__day{k}")]
+        out += [F.count_if(c.isNull()).alias(f"__null{k}"), F.min(c).alias(f"__min{k}"), F.max(c).alias(f"__max{k}"), F.count_if(timed(kind, c)).alias(f"__timed{k}"), F.count_if(eight_digit_day(kind, c, strict_days)).alias(f"__day{k}")]
+        distincts.append(F.countDistinct(c).alias(f"__distinct{k}"))
         nothing = F.lit(None)
         if numeric(kind):
             out += [F.count_if(fraction(c)).alias(f"__fraction{k}"), F.try_sum(c.cast(f"decimal({min(38, 20 + scale)},{scale})")).alias(f"__sum{k}")]
@@ -80,7 +81,7 @@ def profile(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_s
                 (F.col(f"__distinct{k}") / rows).alias("distinct_ratio"),
             )
         )
-    wide = df.groupBy(*by).agg(*out) if by else df.agg(*out)
+    wide = two_passes(df, out, distincts, by)
     return wide.select(*by, F.explode(F.array(*structs)).alias("p")).select(*by, "p.*")
 
 
