@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm.common import table
+from tallyframe.llm.common import ship, table
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries():
+    return {name: _shipped(query) for name, query in _all().items()}
+
+
+def _all():
     return {
         "pipeline": pipeline,
         "op9_jaccard_join": op9_jaccard_join,
