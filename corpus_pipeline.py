@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut, fingerprint, fresh, shared_folder, table
+from tallyframe.llm.common import cut, fingerprint, fresh, shared_folder, ship, table
 from tallyframe.llm.exact_dedup import exact_dedup
 from tallyframe.llm.language_id import UND, annotate
 from tallyframe.llm.mixing import schedule
@@ -52,16 +52,19 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     found = annotate(docs, lang, score)
     return found.where((F.col(lang) != UND) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return _kept(docs, exact_dedup(docs))
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return _kept(docs, near_duplicates(docs, WORDS, PERCENT))
 
 
@@ -70,6 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return pack(docs)
 
 
