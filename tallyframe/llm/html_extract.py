@@ -4,10 +4,9 @@ A page becomes text lines, one for each block, each with what its markup says: i
 part), inside something that is no article text (menu, header, footer, sidebar, notice, advert, form,
 comments), or neither. Pages are range-sorted by host and URL path, so each stands beside those with
 the nearest paths of its host; it is paired with the neighbour that shares the longer path prefix (a tie: the one
-before). The lines of the pair are aligned by their longest common subsequence. Shared lines are deleted,
-with two exceptions: lines inside an article stay (an article that two pages carry is still the
-article), and where a pair shares SAME or more of either page's open characters the pages are copies and tell nothing
-apart. Lines that the markup marks as no article text go too, and in a page with an article all lines outside it.
+before). The lines of the pair are aligned by their longest common subsequence. Shared lines are deleted, inside an
+article too if they are main text in both pages. Where a pair shares SAME or more of the larger page's main text the pages are copies and
+tell nothing apart. Lines that the markup marks as no article text go too, and in a page with an article all lines outside it.
 
 One shuffle, of parsed and compressed lines; the raw HTML stays where it is read. Sorting by range splits
 a host of any size over many tasks. A page at the edge of a task is paired inside it; a page that is alone there, like
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.url_filter import host_of, path_of
 
-#: Of a page's open characters, when a pair counts as copies.
+#: Of the larger page's main text, when a pair counts as copies.
 SAME = 0.8
 #: More matching line pairs than this are aligned by number of occurrence, which bounds the work for pages of one line repeated.
 MATCHES = 2_000_000
@@ -188,20 +187,40 @@ def shared_prefix(a: str, b: str) -> int:
     return k
 
 
+def _content(lines: list[tuple[int, str]]) -> int:
+    """Where the main text of a page stands: inside its article, if it has one."""
+    return _INNER if any(where == _INNER for where, _ in lines) else _OUTER
+
+
+def shared(lines: list[tuple[int, str]], other: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """The aligned lines of two pages as pairs of places."""
+    return common([text for _, text in lines], [text for _, text in other])
+
+
+def copies(lines: list[tuple[int, str]], other: list[tuple[int, str]], pairs: list[tuple[int, int]]) -> bool:
+    """Whether two pages carry the same text, so that they tell nothing apart."""
+    mine, theirs = _content(lines), _content(other)
+    both = [(i, j) for i, j in pairs if lines[i][0] == mine and other[j][0] == theirs]
+    same = sum(len(lines[i][1]) for i, _ in both)
+    most = max(sum(len(text) for where, text in x if where == wanted) for x, wanted in ((lines, mine), (other, theirs)))
+    return same > 0 and same >= SAME * most
+
+
+def left_over(lines: list[tuple[int, str]], other: list[tuple[int, str]], pairs: list[tuple[int, int]]) -> str:
+    """The text of a page without what it shares with another that is no copy."""
+    theirs = _content(other)
+    # a line of an article goes if it is main text there too: a sidebar that names the article takes nothing from it
+    drop = {i for i, j in pairs if lines[i][0] != _INNER or other[j][0] == theirs}
+    wanted = _content(lines)
+    return "\n\n".join(text for k, (where, text) in enumerate(lines) if where == wanted and k not in drop)
+
+
 def main_text(lines: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
     """The text of a page, given its lines and those of its pair."""
-    article = any(where == _INNER for where, _ in lines)
-    drop: set[int] = set()
-    if other is not None:
-        pairs = common([text for _, text in lines], [text for _, text in other])
-        drop = {i for i, _ in pairs if lines[i][0] != _INNER}
-        mine = sum(len(text) for where, text in lines if where == _OUTER)
-        theirs = sum(len(text) for where, text in other if where == _OUTER)
-        both = sum(len(lines[i][1]) for i in drop if lines[i][0] == _OUTER)
-        if both and both >= SAME * min(mine, theirs or mine):
-            drop = {i for i in drop if lines[i][0] == _NONE}
-    wanted = _INNER if article else _OUTER
-    return "\n\n".join(text for k, (where, text) in enumerate(lines) if where == wanted and k not in drop)
+    pairs = shared(lines, other) if other is not None else []
+    if other is None or copies(lines, other, pairs):
+        return left_over(lines, [], [])
+    return left_over(lines, other, pairs)
 
 
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()

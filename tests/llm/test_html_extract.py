@@ -52,6 +52,14 @@ def test_shared_lines_go_where_markup_says_nothing():
     assert text(article.format("a"), article.format("b")) == "shared\n\na"
 
 
+def test_lines_of_an_article_that_a_neighbour_shares_go():
+    page = lambda own: f"<main><p>Share this story</p><p>{own}</p><div>By the desk of the paper</div></main>"
+    assert text(page("one story that stands on this page alone and is long"), page("two")) == "one story that stands on this page alone and is long"
+    named = "<article><h1>A headline</h1><p>Body of the first page</p></article>"
+    assert text(named, "<article><p>Another body</p></article><aside>A headline</aside>") == "A headline\n\nBody of the first page"
+    assert text(named, named) == text(named)
+
+
 def test_pages_pair_within_their_host(spark):
     page = lambda own, frame: f"<body><div>{frame}</div><p>{own} and some more text that only this page has</p>"
     rows = [(1, "http://a.org/x/1", page("one", "Frame A")), (2, "http://a.org/x/2", page("two", "Frame A")), (3, "http://b.org/x/1", page("three", "Frame A")), (4, None, None), (4, None, None), (5, "http://a.org/y", "<p>" + "long " * 200_000)]
