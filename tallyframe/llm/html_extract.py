@@ -3,10 +3,11 @@
 A page becomes text lines, one for each block, each with what its markup says: inside an article (or main
 part), inside something that is no article text (menu, header, footer, sidebar, notice, advert, form,
 comments), or neither. Pages are range-sorted by host and URL path, so each stands beside those with
-the nearest paths of its host; it is paired with the neighbour that shares the longer path prefix (a tie: the one
-before). The lines of the pair are aligned by their longest common subsequence. Shared lines are deleted, inside an
-article too if they are main text in both pages. Where a pair shares SAME or more of the larger page's main text the pages are copies and
-tell nothing apart. Lines that the markup marks as no article text go too, and in a page with an article all lines outside it.
+the nearest paths of its host. Pages are copies, and tell nothing apart, where neither has more than a little main text of its own; a
+page and those after it that are each a copy of the one before are a run. A page is paired with the nearest page outside
+its run, before or after, that shares the longer path prefix (a tie: the one before; a copy again: the other one). The lines
+of the pair are aligned by their longest common subsequence, and shared lines are deleted, inside an article too if they
+are main text in both pages. Lines that the markup marks as no article text go too, and in a page with an article all lines outside it.
 
 One shuffle, of parsed and compressed lines; the raw HTML stays where it is read. Sorting by range splits
 a host of any size over many tasks. A page at the edge of a task is paired inside it; a page that is alone there, like
@@ -20,7 +21,9 @@ from __future__ import annotations
 
 import html as entities
 import json
+import pickle
 import re
+import tempfile
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.url_filter import host_of, path_of
 
-#: Of the larger page's main text, when a pair counts as copies.
-SAME = 0.8
+#: Of a page's main text what it may have of its own beside a copy; or up to OWN characters, if they are a fifth of it at most.
+DIFFERS, OWN = 0.05, 20
+#: Bytes of pages that wait for the end of their run of copies in memory; more wait in a file.
+HELD = 32_000_000
 #: More matching line pairs than this are aligned by number of occurrence, which bounds the work for pages of one line repeated.
 MATCHES = 2_000_000
 
@@ -198,12 +203,16 @@ def shared(lines: list[tuple[int, str]], other: list[tuple[int, str]]) -> list[t
 
 
 def copies(lines: list[tuple[int, str]], other: list[tuple[int, str]], pairs: list[tuple[int, int]]) -> bool:
-    """Whether two pages carry the same text, so that they tell nothing apart."""
+    """Whether neither of two pages has text of its own worth naming, so that they tell nothing apart."""
     mine, theirs = _content(lines), _content(other)
     both = [(i, j) for i, j in pairs if lines[i][0] == mine and other[j][0] == theirs]
     same = sum(len(lines[i][1]) for i, _ in both)
-    most = max(sum(len(text) for where, text in x if where == wanted) for x, wanted in ((lines, mine), (other, theirs)))
-    return same > 0 and same >= SAME * most
+
+    def little(all_of_it: int) -> bool:
+        own = all_of_it - same
+        return own <= DIFFERS * all_of_it or own <= OWN and 5 * own <= all_of_it
+
+    return same > 0 and all(little(sum(len(text) for where, text in x if where == wanted)) for x, wanted in ((lines, mine), (other, theirs)))
 
 
 def left_over(lines: list[tuple[int, str]], other: list[tuple[int, str]], pairs: list[tuple[int, int]]) -> str:
@@ -235,38 +244,123 @@ def _parsed(batches):
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
+class _Page:
+    """A row of the sorted table, its lines unpacked when they are needed."""
+
+    __slots__ = ("page_id", "url", "host", "path", "packed", "_lines")
+
+    def __init__(self, page_id, url, host, path, packed):
+        self.page_id, self.url, self.host, self.path, self.packed, self._lines = page_id, url, host, path, packed, None
+
+    def row(self):
+        return self.page_id, self.url, self.host, self.path, self.packed
+
+    @property
+    def lines(self):
+        if self._lines is None:
+            self._lines = json.loads(_UNPACK.decompress(self.packed).decode("utf-8", "surrogatepass"))
+        return self._lines
+
+
+class _Run:
+    """Pages in order of which each is a copy of the one before; beyond HELD bytes they wait in a file."""
+
+    def __init__(self, page: _Page, before: _Page | None, pairs):
+        self.before, self.pairs = before, pairs  # the last page of the run before, and its lines aligned with page's
+        self.first = self.last = page
+        self._held: list[_Page] = []
+        self._bytes = 0
+        self._file = None
+
+    def add(self, page: _Page):
+        """Takes the page after the last."""
+        if self.last is not self.first:
+            self.last._lines = None
+            if self.last.packed == page.packed:
+                page.packed = self.last.packed  # kept once
+            else:
+                self._bytes += len(page.packed)
+            self._held.append(self.last)
+            if self._bytes > HELD:
+                self._file = self._file or tempfile.TemporaryFile()
+                for p in self._held:
+                    pickle.dump(p.row(), self._file)
+                self._held, self._bytes = [], 0
+        self.last = page
+
+    def pages(self):
+        yield self.first
+        if self._file:
+            self._file.seek(0)
+            while True:
+                try:
+                    yield _Page(*pickle.load(self._file))
+                except EOFError:
+                    break
+            self._file.close()
+        yield from self._held
+        if self.last is not self.first:
+            yield self.last
+
+    def texts(self, after: _Page | None, pairs):
+        """Each page with its text; after is the first page of the run after, aligned with the last page by pairs."""
+        for page in self.pages():
+            near = [x for x in (self.before, after) if x]
+            near.sort(key=lambda x: -shared_prefix(x.path, page.path))  # a tie: the one before
+            text = None
+            for other in near:
+                if page is self.first and other is self.before:
+                    aligned = [(j, i) for i, j in self.pairs]
+                elif page is self.last and other is after:
+                    aligned = pairs
+                else:
+                    aligned = shared(page.lines, other.lines)
+                    if copies(page.lines, other.lines, aligned):
+                        continue
+                text = left_over(page.lines, other.lines, aligned)
+                break
+            yield page, left_over(page.lines, [], []) if text is None else text
+            if page is not self.last:
+                page._lines = None
+
+
 def _differenced(batches):
-    def rows():
+    def pages():
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, url, host, path, packed = (batch.column(c)[k].as_py() for c in range(5))
-                yield page_id, url, host, path, json.loads(_UNPACK.decompress(packed).decode("utf-8", "surrogatepass"))
+                yield _Page(*(batch.column(c)[k].as_py() for c in range(5)))
 
     def texts():
-        before, page = None, None
-        for after in rows():
-            if page:
-                yield extracted(before, page, after)
-            before, page = page, after
-        if page:
-            yield extracted(before, page, None)
-
-    def extracted(before, page, after):
-        near = [x for x in (before, after) if x and x[2] == page[2]]
-        pair = max(near, key=lambda x: shared_prefix(x[3], page[3]), default=None)
-        text = main_text(page[4], pair[4] if pair else None)
-        return page[0], page[1], text, len(text)
+        run = None
+        for page in pages():
+            if run is None or run.last.host != page.host:
+                if run:
+                    yield from run.texts(None, None)
+                run = _Run(page, None, None)
+                continue
+            pairs = shared(run.last.lines, page.lines)
+            if copies(run.last.lines, page.lines, pairs):
+                run.add(page)
+            else:
+                yield from run.texts(page, pairs)
+                run = _Run(page, run.last, pairs)
+        if run:
+            yield from run.texts(None, None)
 
     held: list[tuple] = []
     size = 0
-    for row in texts():
-        held.append(row)
-        size += row[3]
+    for page, text in texts():
+        held.append((page.page_id, page.url, text, len(text)))
+        size += len(text)
         if len(held) >= 1000 or size > 4_000_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _OUT.types, strict=True)], schema=_OUT)
+            yield _batch(held, _OUT)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _OUT.types, strict=True)], schema=_OUT)
+        yield _batch(held, _OUT)
+
+
+def _batch(rows: list[tuple], schema):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:

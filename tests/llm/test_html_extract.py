@@ -60,6 +60,29 @@ def test_lines_of_an_article_that_a_neighbour_shares_go():
     assert text(named, named) == text(named)
 
 
+def test_only_pages_without_text_of_their_own_are_copies():
+    page = lambda own: f"<div>{'menu ' * 120}</div><p>{own}</p>"
+    own = "what this page alone says, of some hundred characters in all, which is a small part of the page it is on"
+    assert text(page(own), page(own[::-1])) == own
+    assert text(page(own + " and more" * 500), page("stub")) == own + " and more" * 500
+    assert text(page("1"), page("2")) == text(page("1"))
+
+
+def test_copies_are_paired_past_each_other(spark, monkeypatch):
+    page = lambda own: f"<body><div>Frame of the site</div><p>{own} and some more text that only this page has</p>"
+    rows = [(k, f"http://a.org/x/1?copy={k}", page("one")) for k in range(300)] + [(300, "http://a.org/x/2", page("two"))]
+    rows += [(400 + k, f"http://b.org/{k}", page("one")) for k in range(3)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in H.extract(d).collect()}
+    assert {got[k] for k in range(300)} == {"one and some more text that only this page has"} and got[300].startswith("two")
+    assert {got[k] for k in range(400, 403)} == {text(page("one"))}  # nothing but copies
+    monkeypatch.setattr(H, "HELD", 100)
+    run = H._Run(H._Page(0, "", "", "/", H._PACK.compress(b"[]")), None, None)
+    for k in range(1, 9):
+        run.add(H._Page(k, "", "", "/", H._PACK.compress(b'[[1, "%d"]]' % k)))
+    assert run._file and [(p.page_id, p.lines) for p in run.pages()] == [(0, [])] + [(k, [[1, str(k)]]) for k in range(1, 9)]
+
+
 def test_pages_pair_within_their_host(spark):
     page = lambda own, frame: f"<body><div>{frame}</div><p>{own} and some more text that only this page has</p>"
     rows = [(1, "http://a.org/x/1", page("one", "Frame A")), (2, "http://a.org/x/2", page("two", "Frame A")), (3, "http://b.org/x/1", page("three", "Frame A")), (4, None, None), (4, None, None), (5, "http://a.org/y", "<p>" + "long " * 200_000)]
