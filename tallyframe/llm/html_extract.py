@@ -10,8 +10,8 @@ of the pair are aligned by their longest common subsequence, and shared lines ar
 are main text in both pages. Lines that the markup marks as no article text go too, and in a page with an article all lines outside it.
 
 One shuffle, of parsed and compressed lines; the raw HTML stays where it is read. Sorting by range splits
-a host of any size over many tasks. A page at the edge of a task is paired inside it; a page that is alone there, like
-one alone in its host, has no pair and is judged by its markup.
+a host of any size over many tasks. The first and the last run of a range, with the page next to each, go to a second small pass
+by host, so that the result does not depend on where ranges end. A page alone in its host, or with copies only, has no pair and is judged by its markup.
 
 Defined cases: null html gives an empty text; null URLs have an empty host and path and are neighbours of
 each other. Repeated rows each get a result. An empty table gives an empty result. Columns other than page_id, url and html are ignored.
@@ -24,11 +24,12 @@ import json
 import pickle
 import re
 import tempfile
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import deque
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.url_filter import host_of, path_of
@@ -37,6 +38,8 @@ from tallyframe.llm.url_filter import host_of, path_of
 DIFFERS, OWN = 0.05, 20
 #: Bytes of pages that wait for the end of their run of copies in memory; more wait in a file.
 HELD = 32_000_000
+#: At most as many keys are drawn to cut the pages into ranges.
+SAMPLE = 5000
 #: More matching line pairs than this are aligned by number of occurrence, which bounds the work for pages of one line repeated.
 MATCHES = 2_000_000
 
@@ -235,12 +238,35 @@ def main_text(lines: list[tuple[int, str]], other: list[tuple[int, str]] | None)
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
-def _parsed(batches):
+def _key(host, path, page_id):
+    """What pages are sorted by, as Spark does."""
+    return host, path, page_id is not None, page_id or 0
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple]:
+    """Keys that cut the sorted pages into about as many ranges, from a sample of at most SAMPLE keys."""
+    keys = rows.select("host", F.substring("path", 1, 500).alias("path"), "page_id")
+    sample = sorted(_key(*r) for r in keys.orderBy(F.xxhash64("page_id", "host", "path")).limit(min(SAMPLE, 20 * parts)).collect())
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+
+
+def _numbers(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each range, of which each hashes to a shuffle partition of its own."""
+    number = F.col("id").cast("int")
+    found = spark.range(40 * parts).groupBy(F.pmod(F.hash(number), F.lit(parts)).alias("at")).agg(F.min(number).alias("number")).collect()
+    numbers = sorted(r.number for r in found)
+    return numbers + [40 * parts + k for k in range(parts - len(numbers))]
+
+
+def _parsed(batches, bounds: list[tuple], numbers: list[int]):
     for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in (2, 3, 0)), strict=True)
+        part = [numbers[bisect_right(bounds, _key(*k))] for k in keys]
         packed = [_PACK.compress(json.dumps(lines_of(h.as_py()), ensure_ascii=False).encode("utf-8", "surrogatepass")) for h in batch.column(4)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "path", "lines"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(packed, pa.binary()), pa.array(part, pa.int32())], names=["page_id", "url", "host", "path", "lines", "part"])
 
 
+_EDGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("part", pa.int32()), ("wanted", pa.bool_())])
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -324,39 +350,85 @@ class _Run:
                 page._lines = None
 
 
-def _differenced(batches):
-    def pages():
+def _runs(batches):
+    """(run, first page of the run after in its host or None, their lines aligned, whether the range's first or last run) in order."""
+    run, part, at_edge = None, None, True
+    for batch in batches:
+        for k in range(batch.num_rows):
+            page, its = _Page(*(batch.column(c)[k].as_py() for c in range(5))), batch.column(5)[k].as_py()
+            if run is None or its != part:
+                if run:
+                    yield run, None, None, True
+                run, part, at_edge = _Run(page, None, None), its, True
+            elif run.last.host != page.host:
+                yield run, None, None, at_edge
+                run, at_edge = _Run(page, None, None), False
+            else:
+                pairs = shared(run.last.lines, page.lines)
+                if copies(run.last.lines, page.lines, pairs):
+                    run.add(page)
+                else:
+                    yield run, page, pairs, at_edge
+                    run, at_edge = _Run(page, run.last, pairs), False
+    if run:
+        yield run, None, None, True
+
+
+def _inner(batches):
+    """Pages with their texts, but for those of the first and the last run of a range."""
+
+    def texts():
+        for run, after, pairs, at_edge in _runs(batches):
+            if not at_edge:
+                yield from ((page.page_id, page.url, text, len(text)) for page, text in run.texts(after, pairs))
+
+    return _given(texts(), _OUT, lambda row: row[3])
+
+
+def _edges(batches):
+    """The pages of the first and the last run of each range (wanted), and the pages of its host next to them."""
+
+    def rows():
+        for run, after, _, at_edge in _runs(batches):
+            if at_edge:
+                if run.before:
+                    yield *run.before.row(), 0, False
+                yield from ((*page.row(), 0, True) for page in run.pages())
+                if after:
+                    yield *after.row(), 0, False
+
+    return _given(rows(), _EDGES, lambda row: len(row[4]))
+
+
+def _at_edges(batches):
+    """The wanted pages of whole hosts with their texts."""
+    wanted = deque()
+
+    def marked():
         for batch in batches:
-            for k in range(batch.num_rows):
-                yield _Page(*(batch.column(c)[k].as_py() for c in range(5)))
+            wanted.extend(batch.column(6).to_pylist())
+            yield batch
 
     def texts():
-        run = None
-        for page in pages():
-            if run is None or run.last.host != page.host:
-                if run:
-                    yield from run.texts(None, None)
-                run = _Run(page, None, None)
-                continue
-            pairs = shared(run.last.lines, page.lines)
-            if copies(run.last.lines, page.lines, pairs):
-                run.add(page)
-            else:
-                yield from run.texts(page, pairs)
-                run = _Run(page, run.last, pairs)
-        if run:
-            yield from run.texts(None, None)
+        for run, after, pairs, _ in _runs(marked()):
+            for page, text in run.texts(after, pairs):
+                if wanted.popleft():
+                    yield page.page_id, page.url, text, len(text)
+
+    return _given(texts(), _OUT, lambda row: row[3])
+
 
+def _given(rows, schema, size_of):
     held: list[tuple] = []
     size = 0
-    for page, text in texts():
-        held.append((page.page_id, page.url, text, len(text)))
-        size += len(text)
+    for row in rows:
+        held.append(row)
+        size += size_of(row)
         if len(held) >= 1000 or size > 4_000_000:
-            yield _batch(held, _OUT)
+            yield _batch(held, schema)
             held, size = [], 0
     if held:
-        yield _batch(held, _OUT)
+        yield _batch(held, schema)
 
 
 def _batch(rows: list[tuple], schema):
@@ -367,6 +439,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars."""
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
-    parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, path string, lines binary")
-    order = ["host", "path", "page_id"]
-    return parsed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_differenced, "page_id long, url string, text string, n_chars long")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds, numbers = _bounds(rows, parts), _numbers(pages.sparkSession, parts)
+    parsed = rows.mapInArrow(lambda batches: _parsed(batches, bounds, numbers), "page_id long, url string, host string, path string, lines binary, part int")
+    # ranges are a column and url and lines settle ties, so both passes see the same edges however Spark cuts its tasks
+    order = ["host", "path", "page_id", "url", "lines"]
+    ranges = parsed.repartition("part").sortWithinPartitions("part", *order)
+    out = "page_id long, url string, text string, n_chars long"
+    edges = ranges.mapInArrow(_edges, "page_id long, url string, host string, path string, lines binary, part int, wanted boolean")
+    return ranges.mapInArrow(_inner, out).unionByName(edges.repartition("host").sortWithinPartitions(*order).mapInArrow(_at_edges, out))

@@ -94,6 +94,21 @@ def test_pages_pair_within_their_host(spark):
     assert H.extract(d.limit(0)).count() == 0
 
 
+def test_ranges_do_not_change_the_result(spark):
+    page = lambda k: f"<body><div>Frame {k // 50}</div><p>{'same text of copies' if k % 10 in (3, 4, 5) else f'{k} text that only the page of number {k} has'}</p><div>Foot {k // 7}</div>"
+    rows = [(k // 2 if k < 20 else k, f"http://{'abc'[k % 3 if k > 90 else k // 50]}.org/{k // 9}/x", page(k)) for k in range(120)] + [(7, None, page(7))] * 2
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for parts in (1, 8, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted(map(tuple, H.extract(d).collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
+
+
 def test_articles_of_the_table(spark, sf_dir):
     import html
     import re
