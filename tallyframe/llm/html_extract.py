@@ -27,6 +27,7 @@ import tempfile
 from bisect import bisect_left, bisect_right
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,8 @@ DIFFERS, OWN = 0.05, 20
 HELD = 32_000_000
 #: At most as many keys are drawn to cut the pages into ranges.
 SAMPLE = 5000
-#: More matching line pairs than this are aligned by number of occurrence, which bounds the work for pages of one line repeated.
-MATCHES = 2_000_000
+#: With more matching line pairs than this, as on pages of lines much repeated, pages are halved before they are aligned, which bounds the memory.
+MATCHES = 200_000
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -146,6 +147,41 @@ def _outer_none(open_: list[tuple[str, bool, bool]]) -> bool:
     return none or not inner
 
 
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of a longest common subsequence of a and each beginning of b, by one bit for each place in b."""
+    places: dict = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    masks: dict = {}
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        js = places.get(x)
+        if js is None:
+            continue
+        mask = masks.get(x)
+        if mask is None:
+            bits = bytearray(len(b) // 8 + 1)
+            for j in js:
+                bits[j >> 3] |= 1 << (j & 7)
+            mask = int.from_bytes(bits, "little")
+            if len(js) > 64:  # few lines are so frequent that their masks could need much memory
+                masks[x] = mask
+        met = row & mask
+        row = ((row + met) | (row - met)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _halved(a: list, b: list, places: dict) -> list[tuple[int, int]]:
+    """A longest common subsequence in memory that grows with the pages alone: a is cut in half, b where the halves' lengths add to most."""
+    if len(a) == 1:
+        return [(0, places[a[0]][0])] if a[0] in places else []
+    half = len(a) // 2
+    at = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+    return common(a[:half], b[:at]) + [(half + i, at + j) for i, j in common(a[half:], b[at:])]
+
+
 def common(a: list, b: list) -> list[tuple[int, int]]:
     """A longest common subsequence of a and b as pairs of places."""
     start = 0
@@ -159,13 +195,8 @@ def common(a: list, b: list) -> list[tuple[int, int]]:
     for j, x in enumerate(middle_b):
         places.setdefault(x, []).append(j)
     if sum(len(places.get(x, ())) for x in middle_a) > MATCHES:
-        seen: dict = {}
-        numbered: dict = {(x, k): [j] for x, js in places.items() for k, j in enumerate(js)}
-        keys = []
-        for x in middle_a:
-            seen[x] = seen.get(x, -1) + 1
-            keys.append((x, seen[x]))
-        places, middle_a = numbered, keys
+        middle = [(start + i, start + j) for i, j in _halved(middle_a, middle_b, places)]
+        return [(k, k) for k in range(start)] + middle + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
     tails: list[int] = []  # the least end in b of a subsequence of each length
     links: list[tuple] = []
     for i, x in enumerate(middle_a):

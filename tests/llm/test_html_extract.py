@@ -21,6 +21,26 @@ def test_longest_common_subsequence(a, b):
     assert len(pairs) == lcs(a, b)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=40), st.text("abc", max_size=40))
+def test_longest_common_subsequence_of_repeated_lines(a, b):
+    most, H.MATCHES = H.MATCHES, 4
+    try:
+        pairs = H.common(list(a), list(b))
+    finally:
+        H.MATCHES = most
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert len(pairs) == lcs(a, b)
+
+
+def test_long_pages_of_few_lines():
+    assert len(H.common(["x", "y"] * 1001, ["y", "x"] * 1001)) == 2001
+    a = [k % 7 if k % 3 else k % 50_000 for k in range(40_000)]
+    pairs = H.common(a, a[:20_000] + [-1] + a[20_001:])
+    assert len(pairs) == len(a) - 1
+
+
 def text(page, other=None):
     return H.main_text(H.lines_of(page), H.lines_of(other) if other is not None else None)
 
