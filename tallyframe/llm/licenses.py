@@ -2,7 +2,8 @@
 
 Every text is lower-cased (A-Z) and cut into words. Base phrases are counted at every place where their
 words stand consecutively. Beside them, each text block (a line; of longer lines every run of BLOCK
-words, a run starting every BLOCK / 2) is compared with license templates as sets of words: a block
+words, a run starting every BLOCK / 2; and of the whole text, over line ends, runs of BLOCK words or twice the longest template, a run
+starting every half of it) is compared with license templates as sets of words: a block
 matches if it contains at least ``threshold`` of a template's words.
 
 The join is exact. Words of the templates are ordered by the number of documents of the whole corpus that hold them, rarest
@@ -79,6 +80,14 @@ def _blocks(lowered, size: int):
     return F.flatten(F.transform(lines, runs))
 
 
+def _runs(tokens, prefix, size: int, step: int):
+    """Those runs of size words, one starting every step words, whatever lines they are in, that hold a word of prefix."""
+    at = F.filter(F.transform(tokens, lambda x, i: F.when(F.array_contains(prefix, x), i)), lambda i: i.isNotNull())
+    first = lambda i: (F.greatest(i - size + step, F.lit(0)) / step).cast("int") * step
+    starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(first(i), i, F.lit(step)))))
+    return F.transform(starts, lambda i: F.slice(tokens, i + 1, size))
+
+
 def _strings(values):
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -112,7 +121,11 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
     tokens = lowered.withColumn("w", words(F.col("t")))
     base = tokens.withColumn("places", F.array(*[_starts(F.col("t"), F.col("w"), p) for _, p in phrases]))
-    blocks = F.filter(_blocks(F.col("t"), block), lambda b: F.arrays_overlap(b, prefix))
+    # notices also go on over line ends, and long ones could fall between the runs of a line
+    longest = max(len(text.split()) for _, text in templates)
+    over = F.lit(True) if longest > block // 2 else F.contains(F.col("t"), F.lit("\n"))
+    wide = F.when(over, _runs(F.col("w"), prefix, max(block, 2 * longest), max(1, longest // 2))).otherwise(F.array().cast("array<array<string>>"))
+    blocks = F.concat(F.filter(_blocks(F.col("t"), block), lambda b: F.arrays_overlap(b, prefix)), wide)
     base = base.withColumn("blocks", F.when(F.arrays_overlap("w", prefix), blocks).otherwise(F.array().cast("array<array<string>>")))
     flat = F.flatten("places")
     label = F.array_compact(F.array(*[F.when(F.size(F.col("places")[k]) > 0, F.lit(name)) for k, (name, _) in enumerate(phrases)]))

@@ -47,6 +47,18 @@ def test_equals_brute_force(spark):
     assert rows[100][0][5] == "apache" and rows[104][0][5] == "mit" and rows[105][0][5] == ""
 
 
+def test_wrapped_and_long_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files"
+    texts = ["other words\n" + bsd, "a b c\n" * 200 + mit + "\nx" * 200, "Licensed under the Apache\nLicense, Version 2.0", "Licensed under the\nlicense"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in L.scan(d).orderBy("doc_id").collect()] == ["bsd", "mit", "apache", ""]
+    long = [" ".join(f"w{k}" for k in range(n)) for n in (60, 90)]
+    d = spark.createDataFrame([(k, "x " * 16 + t + " y" * 100) for k, t in enumerate(long)], "doc_id long, text string")
+    assert [r.labels for r in L.scan(d.where("doc_id = 0"), templates=(("a", long[0]),)).collect()] == ["a"]
+    assert [r.labels for r in L.scan(d.where("doc_id = 1"), templates=(("b", long[1]),)).collect()] == ["b"]
+
+
 def test_empty_table(spark):
     assert L.scan(odd_documents(spark).limit(0)).count() == 0
 
