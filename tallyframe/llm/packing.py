@@ -3,7 +3,7 @@
 Documents become pieces of at most CAPACITY tokens: a document's ids and a final 0; a longer one is cut into full
 pieces with the shorter one first. Which piece goes where depends on lengths alone, so the plan is made from the histogram of lengths, which
 has at most CAPACITY rows at any size of the corpus: the longest length left opens a sequence and its
-gap is looked up among single lengths, pair sums and triple sums that are still available; where no
+gap is looked up in an index of single lengths, pair sums and triple sums, built once and kept to what the counts still allow; where no
 combination fills it exactly, the best fit (the longest length that fits) goes in and the rest of the gap is
 looked up again. Such a pattern is used as often as the counts allow, so a step uses up a length and
 there are a few thousand patterns, not one for each sequence.
@@ -12,9 +12,9 @@ A pattern's slots take ranges of ranks within a length. Ranks come from counts b
 and a row number inside each such group, so neither a common length nor the whole table is ever one task's.
 The slot table (bounded as above) goes to the tasks, which find each piece's sequence and offset by binary search.
 
-Ids are those of the tokenizer in the JSON file. Texts of plain Latin characters are encoded from the same
-vocabulary as ranks, which is five times as fast; all others by the tokenizers library.
-Strings of special tokens are ordinary text.
+Ids are those of the tokenizer in the JSON file with its own handling of special strings (an added token in a text
+is one id). Texts of plain Latin characters without such a string are encoded from the same
+vocabulary as ranks, which is three times as fast; all others by the tokenizers library.
 
 Defined cases: null and empty texts are the id 0 alone. A null doc_id and repeated rows are documents of
 their own. An empty table gives an empty result. Columns other than doc_id and text are ignored.
@@ -23,6 +23,7 @@ their own. An empty table gives an empty result. Columns other than doc_id and t
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -70,11 +71,13 @@ def _fast(path: str):
 
 
 def _exact(path: str):
+    """The tokenizer of the JSON file and the strings that it takes as one token each."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        _encoders[path] = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        _encoders[path] = Tokenizer.from_file(path), added
     return _encoders[path]
 
 
@@ -82,10 +85,11 @@ def encode(text: str | None, tokenizer: str, ranks: str) -> np.ndarray:
     """The ids of text and END, as little-endian unsigned 32-bit numbers."""
     if not text:
         return np.array([END], dtype="<u4")
-    if plain(text):
+    exact, added = _exact(tokenizer)
+    if plain(text) and not any(t in text for t in added):
         ids = _fast(ranks).encode_to_numpy(text, disallowed_special=())
     else:
-        ids = _exact(tokenizer).encode(text, add_special_tokens=False).ids
+        ids = exact.encode(text, add_special_tokens=False).ids
     out = np.empty(len(ids) + 1, dtype="<u4")
     out[:-1], out[-1] = ids, END
     return out
@@ -121,34 +125,58 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     return rows.mapInArrow(run, _PIECES + ", ids binary" * with_ids)
 
 
-class _Gaps:
-    """Which available lengths, pairs and triples of them sum to a gap exactly."""
+class Sums:
+    """Single lengths, pairs and triples by their sum, as far as counts allow.
+
+    pairs and triples are indexed once, by sum, as the combination with the longest members. Counts only fall, so a combination that they
+    no longer allow is never allowed again: a lookup that finds its entry spent moves it on to the next, and all lookups together pass
+    each combination once.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        here = counts > 0
+        self.pairs: dict[int, int] = {}  # sum: the longer member
+        for total in range(2, len(counts)):
+            longer = np.arange(total - 1, (total - 1) // 2, -1)
+            found = np.flatnonzero(here[longer] & here[total - longer])
+            if len(found):
+                self.pairs[total] = int(longer[found[0]])
+        self.triples: dict[int, int] = {}  # sum: the longest member
+        sums = np.zeros(len(counts), dtype=bool)
+        sums[list(self.pairs)] = True
+        for total in range(3, len(counts)):
+            longest = np.arange(total - 2, (total - 1) // 3, -1)
+            found = np.flatnonzero(here[longest] & sums[total - longest])
+            if len(found):
+                self.triples[total] = int(longest[found[0]])
+
+    def _allowed(self, *lengths: int) -> bool:
+        return all(self.counts[x] >= lengths.count(x) for x in lengths)
 
     def single(self, gap: int):
         return (gap,) if self.counts[gap] > 0 else None
 
     def pair(self, gap: int):
         """The pair with the longest member."""
-        low = np.arange(1, gap // 2 + 1)
-        ok = (self.counts[low] > 0) & (self.counts[gap - low] > 0)
-        if gap % 2 == 0 and len(low):
-            ok[-1] = self.counts[gap // 2] > 1
-        hit = np.flatnonzero(ok)
-        return (gap - int(low[hit[0]]), int(low[hit[0]])) if len(hit) else None
+        for a in range(self.pairs.get(gap, 0), (gap - 1) // 2, -1):
+            if self._allowed(a, gap - a):
+                self.pairs[gap] = a
+                return a, gap - a
+        self.pairs.pop(gap, None)
+        return None
 
     def triple(self, gap: int):
         """The triple with the longest member, then the longest second."""
-        for a in np.flatnonzero(self.counts[: gap - 1])[::-1].tolist():
-            if 3 * a < gap:
-                break
-            self.counts[a] -= 1
-            rest = self.pair(gap - a)
-            self.counts[a] += 1
-            if rest:
-                return (a, *rest)
+        for a in range(self.triples.get(gap, 0), (gap - 1) // 3, -1):
+            rest = gap - a
+            if self.counts[a] and self.pair(rest):
+                # the entry may need a length that a uses up
+                for b in range(min(a, self.pairs[rest]), (rest - 1) // 2, -1):
+                    if self._allowed(a, b, rest - b):
+                        self.triples[gap] = a
+                        return a, b, rest - b
+        self.triples.pop(gap, None)
         return None
 
     def fill(self, gap: int):
@@ -160,7 +188,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
-    gaps, out = _Gaps(left), []
+    sums, out = Sums(left), []
     longest = capacity
     while True:
         while longest and not left[longest]:
@@ -171,7 +199,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
         left[longest] -= 1
         gap = capacity - longest
         while gap:
-            got = gaps.fill(gap)
+            got = sums.fill(gap)
             if not got:
                 fits = np.flatnonzero(left[: gap + 1])
                 if not len(fits):

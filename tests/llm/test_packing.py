@@ -1,12 +1,13 @@
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyframe.llm import packing as K
-from tests.llm.helpers import odd_documents, with_clashing
+from tests.llm.helpers import DOCS, odd_documents, with_clashing
 
 
 @settings(max_examples=100, deadline=None)
@@ -31,12 +32,26 @@ def test_exact_combinations_come_first():
     assert len(K.plan({30: 10**9, 34: 10**9}, 64)) == 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=14), st.lists(st.tuples(st.integers(1, 24), st.integers(1, 24)), max_size=12))
+def test_index_of_sums_against_all_combinations(lengths, lookups):
+    counts = np.zeros(25, dtype=np.int64)
+    for x in lengths:
+        counts[x] += 1
+    index = K.Sums(counts)
+    for gap, spent in lookups:  # counts fall between lookups
+        pool = sorted((x for x in range(25) for _ in range(counts[x])), reverse=True)
+        want = [max((c for c in combinations(pool, n) if sum(c) == gap), default=None) for n in (1, 2, 3)]
+        assert [index.single(gap), index.pair(gap), index.triple(gap)] == want
+        counts[spent] = max(0, counts[spent] - 1)
+
+
 def test_pieces_and_ids(spark):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(K.paths()[0])
-    exact.encode_special_tokens = True
-    docs = with_clashing(odd_documents(spark))
+    special = spark.createDataFrame([(20, "a <|endoftext|> b<|endoftext|>", "en", "a", 1), (21, "<|endoftext|>", "en", "a", 1), (22, "漢 <|endoftext|>", "en", "a", 1)], DOCS)
+    docs = with_clashing(odd_documents(spark).unionByName(special))
     rows = K.pack(docs).collect()
     want = []
     for r in docs.collect():
@@ -59,10 +74,12 @@ def test_pieces_and_ids(spark):
 
 
 def test_both_encoders_agree(spark, sf_dir):
+    from tokenizers import Tokenizer
+
     tokenizer, ranks = K.paths()
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     texts += ["<|endoftext|> a", "a  b\n\n c\t", "it's I'LL 1²3½", "“quote” — x…", "naïve\u00a0space", "\u2003wide", "a\x1cb\x85c", "漢字 123 ٣", "x" * 5000]
-    exact = K._exact(tokenizer)
+    exact = Tokenizer.from_file(tokenizer)
     for t in texts:
         assert K.encode(t, tokenizer, ranks)[:-1].tolist() == exact.encode(t, add_special_tokens=False).ids
 
