@@ -8,7 +8,9 @@ all its windows (weighted by their bytes that are no padding), its score the sof
 
 Trained on the driver with a bounded sample: of the rows outside the held-out fold with a language
 and a letter, the SAMPLE rows that come first by a hash of doc_id in each of at most MAX_LANGUAGES
-languages (the most frequent), texts of at most SAMPLE_CHARS characters. Prediction is one pass over whole texts without a
+languages (the most frequent), texts of at most SAMPLE_CHARS characters, and of their windows TRAIN_WINDOWS of each language, drawn at random. Only
+rows with a hash under a language's share of about MARGIN * SAMPLE rows are sorted to find the first, so a language with most of all rows is no large
+task. Prediction is one pass over whole texts without a
 shuffle; windows of many texts are filtered at once, BATCH at a time, which bounds memory for texts of
 any length.
 
@@ -30,6 +32,7 @@ WINDOW, EMBED, FILTERS = 128, 8, 16
 WIDTHS = (2, 3, 4)
 BATCH = 512
 SAMPLE, SAMPLE_CHARS, MAX_LANGUAGES = 600, 8000, 200
+TRAIN_WINDOWS, MARGIN = 6000, 4
 EPOCHS, TRAIN_BATCH, RATE = 6, 128, 0.01
 FOLDS, HELD_OUT = 3, 1
 UND = "und"
@@ -100,7 +103,7 @@ def gradients(net, rows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray
     return out
 
 
-def train(texts: list[str], langs: list[str], seed: int = 11) -> tuple[dict[str, np.ndarray], list[str]] | None:
+def train(texts: list[str], langs: list[str], seed: int = 11, most: int = TRAIN_WINDOWS) -> tuple[dict[str, np.ndarray], list[str]] | None:
     names = sorted(set(langs))
     if not names:
         return None
@@ -112,8 +115,7 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> tuple[dict[str,
         parts.append(w)
         labels.append(np.full(len(w), names.index(lang)))
     rows, y = np.concatenate(parts), np.concatenate(labels)
-    most = max(4000, 4 * len(rows) // max(1, len(names)))
-    chosen = np.concatenate([rng.permutation(np.flatnonzero(y == k))[: min(most, 6000)] for k in range(len(names))])
+    chosen = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:most] for k in range(len(names))])
     rows, y = rows[chosen], y[chosen]
     m = {k: np.zeros_like(v) for k, v in net.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.items()}
@@ -183,14 +185,13 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[str]]:
     """Texts and languages of at most size rows of each of at most MAX_LANGUAGES languages outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and doc_id is not null").where((crc32_of_id(F.col("doc_id")) % FOLDS != HELD_OUT) & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    common = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not common:
         return [], []
-    keyed = rows.where(F.col("lang").isin(common)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    # of each task and language only the first rows by the hash go on; then the first of all
-    local = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    least = keyed.withColumn("part", F.pmod("h", F.lit(64))).withColumn("k", F.row_number().over(local)).where(F.col("k") <= size)
-    first = least.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= size).select("doc_id").distinct()
+    # the first by the hash are under this limit, but for a language of few rows, which has none
+    limits = F.create_map(*[F.lit(x) for lang, n in common.items() for x in (lang, -(2**63) + (MARGIN * size << 64) // n if n > MARGIN * size else 2**63 - 1)])
+    keyed = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= F.element_at(limits, F.col("lang")))
+    first = keyed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= size).select("doc_id").distinct()
     got = rows.join(F.broadcast(first), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * size * len(common)).collect()
     return [r.text for r in got], [r.lang for r in got]
 
