@@ -10,10 +10,10 @@ much in a long text as in a short one, and a misspelling shares most of its subw
 Trained on the driver with a bounded sample: of the labelled rows outside the held-out fold, the SAMPLE
 toxic rows and CLEAN times as many others that come first by a hash of doc_id, texts of at most SAMPLE_CHARS characters before those of at most LONGEST, SAMPLE_TOTAL characters in all. A model is
 as large at any size of the corpus (2**BUCKET_BITS numbers once embeddings and softmax are multiplied out). Scoring is
-one pass over whole texts without a shuffle, in slices of SLICE bytes.
+one pass over whole texts without a shuffle; subwords are looked up SLICE places at a time, which bounds memory for texts of any length and changes no score.
 
 Defined cases: null and empty texts and those without a subword score as the bias of a window without
-subwords. Rows with a null label teach nothing; a doc_id that repeats gets a score for each of its rows. If
+subwords. Rows with a null label teach nothing, a doc_id with both labels is toxic; a doc_id that repeats gets a score for each of its rows. If
 the sample lacks a class, every score is the share of toxic rows in the sample (0 if it is empty), kept under 0.5
 unless all of them are toxic. Columns other than doc_id and text are ignored, label tables need doc_id and toxic.
 """
@@ -77,21 +77,6 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, heads[chosen] - 1, of[chosen]
 
 
-def slices(data: bytes, size: int = SLICE) -> list[bytes]:
-    """data in parts of about size bytes, cut at a separator (within a word only if the word is as long as a part)."""
-    if len(data) <= size:
-        return [data]
-    out, start = [], 0
-    while len(data) - start > size:
-        tail = np.frombuffer(data, dtype=np.uint8, count=size // 2, offset=start + size // 2)
-        gap = np.flatnonzero(_SEPARATORS[tail])
-        end = start + size // 2 + (int(gap[-1]) + 1 if len(gap) else size // 2)
-        out.append(data[start:end])
-        start = end
-    out.append(data[start:])
-    return out
-
-
 def window_logits(total: np.ndarray, count: np.ndarray, of: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
     """The logit of each window (two half windows of one text, or one if the text has no more), at the place of its first half."""
     more = np.zeros(len(of), dtype=bool)
@@ -102,47 +87,61 @@ def window_logits(total: np.ndarray, count: np.ndarray, of: np.ndarray, bias: fl
     return bias + total / (count + PRIOR), count
 
 
-def score_many(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
-    """The logit of each text: that of its most toxic window."""
-    out = np.full(len(texts), bias)
+def half_windows(texts: list[bytes], table: np.ndarray, step: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each half window of the texts the sum of its subwords' numbers, how many they are, and its text's number; step places at a time."""
     raw, marks, of = laid_out(texts)
-    if not len(marks):
-        return out
-    total, count = np.zeros(len(raw), dtype=np.float64), np.zeros(len(raw), dtype=np.int32)
-    for bucket, inside in grams(raw):
-        total[: len(bucket)] += table[bucket] * inside
-        count[: len(bucket)] += inside
-    logit, _ = window_logits(np.add.reduceat(total, marks), np.add.reduceat(count, marks), of, bias)
-    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    out[of[starts]] = np.maximum.reduceat(logit, starts)
-    return out
+    total, count = np.zeros(len(marks)), np.zeros(len(marks), dtype=np.int64)
+    for start in range(0, len(raw), step):
+        first, end = np.searchsorted(marks, [start + 1, start + step])
+        first = max(int(first) - 1, 0)  # the half window that start is in; before the first are separators alone
+        if end == 0:
+            continue
+        part = raw[start : start + step + max(GRAMS) - 1]
+        here = min(step, len(part))
+        sums, seen = np.zeros(here), np.zeros(here, dtype=np.int32)
+        for bucket, inside in grams(part):
+            n = min(here, len(bucket))
+            sums[:n] += table[bucket[:n]] * inside[:n]
+            seen[:n] += inside[:n]
+        edges = np.maximum(marks[first:end] - start, 0)
+        total[first:end] += np.add.reduceat(sums, edges)
+        count[first:end] += np.add.reduceat(seen, edges)
+    return total, count, of
 
 
 def scores(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:
-    """Scores of whole texts, laid out SLICE bytes at a time."""
-    best = np.full(len(texts), -np.inf)
+    """Scores of whole texts, that of their most toxic window each; short texts are laid out together, up to SLICE bytes."""
     group: list[bytes] = []
-    owner: list[int] = []
-    room = 0
-
-    def done():
-        if group:
-            np.maximum.at(best, owner, score_many(group, table, bias))
-            group.clear()
-            owner.clear()
-
+    found: list[tuple] = []
+    room = first = 0
     for k, text in enumerate(texts):
-        for part in slices((text or "").encode("utf-8", "surrogatepass").translate(LOWER)):
-            if room + len(part) > SLICE:
-                done()
-                room = 0
-            group.append(part)
-            owner.append(k)
-            room += len(part)
-    done()
+        data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+        if group and room + len(data) > SLICE:
+            total, count, of = half_windows(group, table)
+            found.append((total, count, of + first))
+            group, room, first = [], 0, k
+        group.append(data)
+        room += len(data)
+    if group:
+        total, count, of = half_windows(group, table)
+        found.append((total, count, of + first))
+    best = np.full(len(texts), float(bias))
+    total, count, of = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
+    if len(of):
+        logit, _ = window_logits(total, count, of, bias)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        best[of[starts]] = np.maximum.reduceat(logit, starts)
     return 1 / (1 + np.exp(-np.clip(best, -500, 500)))
 
 
+def summed(own: np.ndarray, values, n: int, at: np.ndarray | None = None, step: int = 1 << 20) -> np.ndarray:
+    """For each of n groups the sum of values (of values[at]), a part at a time, which bounds the memory."""
+    out = np.zeros(n)
+    for s in range(0, len(own), step):
+        out += np.bincount(own[s : s + step], weights=values[s : s + step] if at is None else values[at[s : s + step]], minlength=n)
+    return out
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
     """A number for each bucket (embedding times softmax, toxic less other) and the bias."""
     y = np.asarray(labels, dtype=np.float64)
@@ -194,7 +193,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
             own = np.repeat(np.arange(len(starts), dtype=np.int32), last - starts + 1)[cell]
             used, bag = np.arange(1 << BUCKET_BITS), bucket
         else:  # each text's most toxic window
-            logit, _ = window_logits(np.bincount(cell, weights=(e @ w).astype(np.float32)[bucket], minlength=n_cells), count, doc, b)
+            logit, _ = window_logits(summed(cell, e @ w, n_cells, bucket), count, doc, b)
             top = np.lexsort((-logit, doc))[starts]
             spans = [np.arange(first[t], first[min(t + 2, z + 1)]) for t, z in zip(top, last, strict=True)]
             own = np.repeat(np.arange(len(top)), [len(x) for x in spans])
@@ -203,9 +202,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
         eu, m, v = e[used], state[0][used], state[1][used]
         for _ in range(STEPS if turn else 8):
             step += 1
-            z = np.bincount(own, weights=(eu @ w)[bag], minlength=len(y)) / length + b
+            z = summed(own, eu @ w, len(y), bag) / length + b
             g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
-            r = np.bincount(bag, weights=(g / length)[own], minlength=len(used))
+            r = summed(bag, g / length, len(used), own)
             ge, gw, gb = np.outer(r, w) + DECAY * eu, eu.T @ r, float(g.sum())
             rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             m, v = 0.9 * m + 0.1 * ge, 0.999 * v + 0.001 * ge * ge
@@ -221,7 +220,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[int]]:
     """Texts and labels of at most size toxic and CLEAN * size other rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    known = known.where(crc32_of_id(F.col("doc_id")) % FOLDS != HELD_OUT).dropDuplicates(["doc_id"])
+    known = known.where(crc32_of_id(F.col("doc_id")) % FOLDS != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= LONGEST)
     lengths = texts.select("doc_id", (F.length("text") > SAMPLE_CHARS).alias("long")).join(known, "doc_id").groupBy("doc_id", "y").agg(F.max("long").alias("long"))
     order = [F.col("long"), F.xxhash64("doc_id"), F.col("doc_id")]

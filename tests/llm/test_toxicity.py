@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -33,18 +35,48 @@ def test_misspellings_share_subwords():
     assert (scores[[0, 1, 5]] > 0.5).all() and (scores[[2, 3, 4]] < 0.5).all()
 
 
-def test_windows_of_a_long_text_equal_those_of_its_parts():
+def plainly(text, table, bias):
+    """The score of a text by loops over words, subwords and bytes."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    words = [m for m in re.findall(rb"[0-9a-z\x80-\xff]+", data)]
+    halves = []
+    for k in range(0, len(words), T.WINDOW // 2):
+        numbers = []
+        for w in words[k : k + T.WINDOW // 2]:
+            w = b" " + w + b" "
+            for n in T.GRAMS:
+                for i in range(len(w) - n + 1):
+                    h = sum(b * pow(0x01000193, j, 1 << 32) for j, b in enumerate(w[i : i + n])) & 0xFFFFFFFF
+                    h = (h ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+                    h = (h ^ (h >> 15)) * 0xC2B2AE35 & 0xFFFFFFFF
+                    numbers.append(float(table[h >> (32 - T.BUCKET_BITS)]))
+        halves.append((sum(numbers), len(numbers)))
+    windows = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(halves, halves[1:], strict=False)] + halves[-1:]
+    logit = max((bias + s / (n + T.PRIOR) for s, n in windows), default=bias)
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_equal_plain_loops(spark, sf_dir):
+    table = np.random.default_rng(3).normal(0, 1, 1 << T.BUCKET_BITS)
+    texts = ["a bc def", "", None, "...", "ghij klm", "é à Ünï-CODE", "  two   spaces, and. dots " * 9, "x" * 400, "one " * 40, "\n\t."]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1500").limit(40).collect()]
+    assert np.allclose(T.scores(texts, table, -1.0), [plainly(t, table, -1.0) for t in texts])
+
+
+def test_parts_of_long_texts_change_nothing():
     rng = np.random.default_rng(3)
     table = rng.normal(0, 1, 1 << T.BUCKET_BITS)
-    words = [f"w{k}" for k in rng.integers(0, 500, 60_000)]
-    text = " ".join(words)
-    assert len(text) > 2 * T.SLICE
-    whole = T.score_many([text.encode()], table, -1.0)[0]
-    cut = max(T.score_many([p], table, -1.0)[0] for p in T.slices(text.encode()))
-    assert abs(whole - cut) < 0.6 and b"".join(T.slices(text.encode())) == text.encode()
-    # many texts at once give what each gives alone
-    texts = [b"a bc def", b"", b"ghij klm", b"...", "é à".encode()]
-    assert np.allclose(T.score_many(texts, table, -1.0), [T.score_many([t], table, -1.0)[0] for t in texts])
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, 20_000)).encode(), b" " * 3000 + b"z" * 5000 + b" end", b"", b"...", b"a b c d e f g h i"]
+    whole = T.half_windows(texts, table, 1 << 30)
+    for step in (7, 1000, 4096):
+        for a, b in zip(whole, T.half_windows(texts, table, step), strict=True):
+            assert np.allclose(a, b)
+
+
+def test_labels_that_differ_are_toxic(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k in range(20) for y in ((0, 1) if k % 2 else (1, 0, 0))], "doc_id long, toxic int")
+    assert set(T.sample(docs, labels)[1]) == {1}
 
 
 def test_odd_tables(spark):
