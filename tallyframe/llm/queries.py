@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyframe.llm.common import ship, table
 
@@ -16,7 +17,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyframe.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", F.get("positions", F.lit(1)).alias("second_position"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,10 +120,11 @@ p as (select doc_id, size, source_size, slope, target,
              (sum(size) over (partition by source order by h, doc_id rows between unbounded preceding and current row) - size)::bigint as start
       from d join t using (source)),
 q as (select *, (greatest(0, least(size, floor(target)::bigint - start)) + greatest(0, least(size, floor(target)::bigint - source_size - start)))::bigint as taken from p)
-select doc_id, size, source_size, target, taken,
-       case when taken > 0 then case when slope = 0 then start / target
-            else (sqrt((1 - slope) * (1 - slope) + 4 * slope * (start / target)) - (1 - slope)) / (2 * slope) end end as position
+select doc_id, size, source_size, target, taken, case when taken > 0 then @(start) end as position,
+       case when size > 0 and start + source_size < floor(target) then @(start + source_size) end as second_position
 from q"""
+for _offset in ("start", "start + source_size"):  # the inverse of the integral
+    MIX_SQL = MIX_SQL.replace(f"@({_offset})", f"case when slope = 0 then ({_offset}) / target else (sqrt((1 - slope) * (1 - slope) + 4 * slope * (({_offset}) / target)) - (1 - slope)) / (2 * slope) end")
 
 
 URL_SQL = r"""

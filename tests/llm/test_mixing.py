@@ -1,3 +1,4 @@
+import hashlib
 import re
 from fractions import Fraction
 
@@ -38,6 +39,11 @@ def check(docs):
     for r in got:
         by_source.setdefault((r.source_size, round(r.target, 6)), []).append(r.taken)
     assert sorted(by_source) == sorted({(sizes[s], round(float(t), 6)) for s, t in target.items()})
+    # every pass by itself, a word at a time on the source's axis
+    for r in got:
+        assert r.taken == sum(r.words) and r.position == (r.positions[0] if r.positions else None) and list(r.positions) == sorted(r.positions)
+    at = [r.position for r in got if r.position is not None]
+    assert at == sorted(at)
     return got, target
 
 
@@ -46,8 +52,37 @@ def test_targets_and_sums(spark, sf_dir):
     got, target = check(docs)
     taken = dict(M.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken")).collect())
     assert all(abs(taken[s] - float(t)) <= 1 for s, t in target.items())
-    again = M.mix(docs.repartition(7)).select("doc_id", "taken", "position").collect()
-    assert sorted(again) == sorted((r.doc_id, r.taken, r.position) for r in got)
+    again = M.mix(docs.repartition(7)).select("doc_id", "taken", "positions").collect()
+    assert sorted(again) == sorted((r.doc_id, r.taken, r.positions) for r in got)
+
+
+def test_schedule_decides_every_pass(spark):
+    """Against a walk along each source's axis: what is taken is what has a position before the end."""
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (1 + k % 7)), "abc"[k % 3] if k % 5 else "a") for k in range(200)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in M.mix(docs).collect()}
+    rows = [(r.doc_id, r.source, len(r.text.split())) for r in docs.collect()]
+    target = brute_targets({s: sum(n for _, x, n in rows if x == s) for s in "abc"})
+    for rank, s in enumerate("abc"):
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n) for i, x, n in rows if x == s)
+        axis = [i for _ in range(2) for _, i, n in own for _ in range(n)][: int(target[s])]
+        slope, end = M.SLOPES[rank], float(target[s])
+        for _, i, _ in own:
+            assert got[i].taken == axis.count(i)
+        inverse = lambda o: o / end if not slope else ((1 - slope) ** 2 + 4 * slope * o / end) ** 0.5 / (2 * slope) - (1 - slope) / (2 * slope)  # noqa: E731, B023
+        begins = {}
+        place = 0
+        for _ in range(2):
+            for _, i, n in own:
+                if place < int(target[s]):
+                    begins.setdefault(i, []).append(inverse(place))
+                place += n
+        for i, at in begins.items():
+            assert got[i].positions == pytest.approx(at)
+
+
+def test_many_sources_go_by_ranges(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9).cast("int")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 700).cast("string")).alias("source"))
+    check(docs)
 
 
 def test_odd_documents(spark):
@@ -70,7 +105,7 @@ def test_schedule_keeps_columns_and_order(spark, sf_dir):
     assert out.columns == docs.columns
     copies = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     for r in M.mix(docs).collect():
-        assert copies.get(r.doc_id, 0) == (int(r.taken / r.size + 0.5) if r.size else 0)
+        assert copies.get(r.doc_id, 0) == sum(2 * w >= r.size for w in r.words)
     assert M.schedule(odd_documents(spark)).count() > 0
 
 
