@@ -37,6 +37,33 @@ def test_equals_brute_force(spark):
     assert D.exact_dedup(docs.limit(0)).count() == 0
 
 
+def weak(chunk):
+    """Only a chunk's length: many chunks of other contents have the same identifier."""
+    return len(chunk).to_bytes(4, "little") + bytes(D.ID_BYTES - 4)
+
+
+def test_identifiers_are_verified_by_bytes(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (3000, 3000, 40, 40, 9000)]
+    rows = [(k, (base[k % 5] if k % 7 else base[k % 5][:-1] + "#").upper() if k % 3 else base[k % 5]) for k in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[lower(t)].append(i)
+    assert len({D.recipe(D.normalised(t), weak) for _, t in rows}) < len(groups)
+    for identify in (weak, D.identifier):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in D.exact_dedup(docs, identify).collect()}
+        assert got == {i: (max(groups[lower(t)]), len(groups[lower(t)]), i == max(groups[lower(t)])) for i, t in rows}
+
+
+def test_chunks_are_sent_once_and_only_of_recurring_texts(spark):
+    rows = [(k, "same text " * 2000 if k % 2 else f"own {k} " * 2000) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    marks = D._marks(D._grouped(D.recipes(docs), ["recipe"], 40))
+    sent = D._texts(docs).select("fp", "text").mapInArrow(D._contents(D.identifier, marks), "id binary, bytes binary").collect()
+    assert b"".join(bytes(r.bytes) for r in sent).startswith(b"same text") and len({bytes(r.id) for r in sent}) == len(sent) == len(set(D.chunks(b"same text " * 2000)))
+
+
 def test_hot_groups(spark, monkeypatch):
     rows = [(k, "Same Text" if k % 3 else f"own {k}") for k in range(4000)]
     got = D.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
