@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -18,6 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,11 +37,22 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def checkpoint_setting(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is not set a folder of its own is made if all tasks run in this process; on a cluster that is refused."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+        place = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="checkpoints-"))
+    return place
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is not set, as in tests, one of its own."""
+    """The folder of this application's checkpoints under checkpoint_setting. Spark removes a checkpoint with its DataFrame
+    if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(checkpoint_setting(spark))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -1,4 +1,8 @@
-"""Connected components of links by alternating large and small stars; links stay distributed throughout."""
+"""Connected components of links by alternating large and small stars; links stay distributed throughout.
+
+Defined cases: links of a node with itself say nothing, a link that is repeated or given both ways counts once, links with a null end are left out,
+and without links there are no components. Other columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -14,10 +14,11 @@ There are some segments more than D + 1, so each document leaves out those of it
 1. One pass over the texts gives each document its size, digest, point and cells; texts do not move.
    Equal sets become one class (any number of exact copies is one row from here on).
 2. Cells are range-sorted by (cell, class), so a cell of any size is split over tasks; those with one class go.
-3. Each class is tried with the first and the previous class of its cells. Links found give components.
+3. Each class is tried with the previous class of its cells and with the first of its stretch of HUB classes in them (those with one another), so no
+   class is tried with more than a few dozen others of a cell. Links found give components.
 4. Cells whose classes are in several components are cut into leaves of at most LEAF points sorted by component
    and size, each with its lower and upper corner. Pairs of different components in a leaf, and of leaves that the corners
-   leave, go through the bound; what remains is verified. Pairs within a component need no test, so a group of
+   leave, go through the bound; what remains is verified. Leaves meet by tiles of TILE leaves against TILE, so a cell of any size is many keys. Pairs within a component need no test, so a group of
    near copies costs its size, not its square, and no link between components is missed.
 
 Defined cases: with fewer words than a shingle has, the whole sequence is the one shingle; null text and text
@@ -39,7 +40,7 @@ from tallyframe.llm.components import components
 from tallyframe.llm.shingles import mixed, shingle_set
 
 WORDS, PERCENT = 5, 80
-LEAF, NODE = 2048, 32
+LEAF, NODE, TILE, HUB = 2048, 32, 32, 64
 #: Documents in shared cells whose ids are broadcast to fetch their texts; with more, texts are joined by a shuffle.
 BROADCAST_IDS = 250_000
 HOT_SHARE = 0.001
@@ -193,32 +194,40 @@ def _shared(batches):
 
 
 def _tries(batches):
-    """From rows sorted by (cell, cls): each class with the first and the one before it of its cell; and of the cells at both ends of the task
-    (edge) their first and last class, as their rows may go on in another task."""
+    """From rows sorted by (cell, cls): each class with the one before it and the first of its stretch of HUB in its cell; and of the cells at both ends of
+    the task (edge) their first and last class, as their rows may go on in another task."""
     schema = pa.schema([("edge", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     edges: list[tuple[int, int, int]] = []
-    open_ = None  # cell, first and last class of the cell that goes on
+    open_ = None  # of the cell that goes on: itself, first and last class, first of the stretch, how many so far
     for batch in batches:
         if not batch.num_rows:
             continue
         cell, cls = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        first = np.repeat(cls[start], np.diff(np.append(start, len(cls))))
+        place = np.arange(len(cls)) - np.repeat(start, np.diff(np.append(start, len(cls))))
         before = np.concatenate([cls[:1], cls[:-1]])
         before[start] = cls[start]
-        end = start[1] if len(start) > 1 else len(cls)
+        first = int(cls[start[-1]])
+        end = int(start[1]) if len(start) > 1 else len(cls)
+        hub_before = 0
         if open_ and open_[0] == cell[0]:
-            first[:end], before[0] = open_[1], open_[2]
+            place[:end] += open_[4]
+            before[0], hub_before = open_[2], open_[3]
+            if len(start) == 1:
+                first = open_[1]
         elif open_ and not edges:
-            edges.append(open_)
+            edges.append(open_[:3])
         if len(start) > 1 and not edges:
-            edges.append((int(cell[0]), int(first[0]), int(cls[end - 1])))
-        open_ = (int(cell[-1]), int(first[-1]), int(cls[-1]))
-        a, b = np.concatenate([first, before[before != first]]), np.concatenate([cls, cls[before != first]])
+            edges.append((int(cell[0]), open_[1] if open_ and open_[0] == cell[0] else int(cls[0]), int(cls[end - 1])))
+        back = np.arange(len(cls)) - np.where(place > 0, (place - 1) % HUB + 1, 0)
+        hub = np.where(back >= 0, cls[np.maximum(back, 0)], hub_before)
+        stretch = len(cls) - 1 - int(place[-1]) % HUB
+        open_ = (int(cell[-1]), first, int(cls[-1]), int(cls[stretch]) if stretch >= 0 else hub_before, int(place[-1]) + 1)
+        a, b = np.concatenate([hub, before[before != hub]]), np.concatenate([cls, cls[before != hub]])
         a, b = a[a != b], b[a != b]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], schema=schema)
     if open_:
-        edges.append(open_)
+        edges.append(open_[:3])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], schema=schema)
 
 
@@ -407,10 +416,15 @@ def cross_pairs(members: DataFrame, found: DataFrame, points: DataFrame, percent
     leaves = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("cell", "cls", "component", "n", "point").mapInArrow(_leaves(percent), _LEAVES))
     inside = leaves.where("a is not null").select("a", "b")
     blocks = leaves.where("a is null")
-    one = blocks.select("cell", "leaf", "first", "last", "corner", "size")
-    two = blocks.select("cell", F.col("leaf").alias("leaf2"), F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("corner").alias("corner2"), F.col("size").alias("size2"))
+    # a key of the join is a tile of leaves against another, so that a cell of many leaves is many keys
+    own = Window.partitionBy("cell")
+    tiled = blocks.select("cell", "leaf", "first", "last", "corner", "size").withColumn("tile", ((F.row_number().over(own.orderBy("first", "leaf")) - 1) / TILE).cast("int"))
+    tiled = cut(tiled.withColumn("tiles", F.max("tile").over(own)))
+    one = tiled.withColumn("tile2", F.explode(F.sequence("tile", "tiles"))).drop("tiles")
+    two = tiled.select("cell", F.col("leaf").alias("leaf2"), F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("corner").alias("corner2"), F.col("size").alias("size2"), F.col("tile").alias("tile2"))
+    two = two.withColumn("tile", F.explode(F.sequence(F.lit(0), "tile2")))
     # leaves of one and the same component have nothing to find
-    met = one.join(two, "cell").where("(first, leaf) < (first2, leaf2) and not (first = last and first2 = last2 and first = first2)")
+    met = one.join(two, ["cell", "tile", "tile2"]).where("(first, leaf) < (first2, leaf2) and not (first = last and first2 = last2 and first = first2)")
     met = met.select("cell", "leaf", "leaf2", "corner", "size", "corner2", "size2").mapInArrow(_corners_meet(percent), "cell long, leaf long, leaf2 long")
     bodies = blocks.select("cell", "leaf", "body")
     both = met.join(bodies, ["cell", "leaf"]).join(bodies.select("cell", F.col("leaf").alias("leaf2"), F.col("body").alias("body2")), ["cell", "leaf2"])

@@ -1,4 +1,9 @@
-"""Word shingles of texts as 64-bit hashes, many texts at once in numpy."""
+"""Word shingles of texts as 64-bit hashes in numpy.
+
+Defined cases: a null or empty text and one of white space alone has no words and the empty set; a text with fewer words than a
+shingle has one, its whole sequence. Shingles are equal if their hashes are: words are not compared, and two different shingles of a
+table of n have the same hash with a chance of about n * n / 2 ** 65.
+"""
 
 from __future__ import annotations
 

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,6 +38,7 @@ def test_leaves_of_a_large_cell(spark, monkeypatch):
     """With leaves of four points the blocks, their corners and the pairs between them are all in use."""
     monkeypatch.setattr(N, "LEAF", 4)
     monkeypatch.setattr(N, "NODE", 2)
+    monkeypatch.setattr(N, "TILE", 3)
     rows = [(k, t) for k, (_, t) in enumerate(variants(4, 3, 40, 80, 14))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
     assert got == jaccard_components(rows, 3, 80)
@@ -103,3 +106,16 @@ def test_tries_join_cells_across_tasks(spark):
             for before, cls in zip(own, own[1:], strict=False):
                 assert (before, cls) in pairs and (parts > 1 or (own[0], cls) in pairs)
         assert all(any(a in own and b in own for own in by_cell.values()) for a, b in pairs)
+
+
+def test_no_class_is_tried_with_a_whole_cell():
+    """Stretches of HUB classes, however batches cut a cell: all are connected and none stands in many pairs."""
+    rows = [(0, k) for k in range(3)] + [(1, 10 + k) for k in range(500)] + [(2, 600), (2, 601)]
+    for size in (1, 7, 64, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size], strict=True)], names=["cell", "cls"]) for k in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in N._tries(batches) for r in b.to_pylist()]
+        assert sorted(r for r in got if r[0] is not None) == [(0, 0, 2), (2, 600, 601)]
+        pairs = {(a, b) for edge, a, b in got if edge is None}
+        assert {(k, k + 1) for k in (*range(2), *range(10, 509), 600)} <= pairs
+        assert {(10 + k - (k - 1) % N.HUB - 1, 10 + k) for k in range(1, 500)} <= pairs and len(pairs) < 2 * len(rows)
+        assert max(Counter(x for p in pairs for x in p).values()) <= N.HUB + 4
