@@ -12,6 +12,8 @@ of docs.
 4. ``mix_sources`` takes documents to the sources' target weights, some twice, in order of training position.
 5. ``pack_sequences`` gives the packing plan, one row for each piece; a document taken twice is packed twice.
 
+A run with a run_id that was begun before on the same documents, in this application or another, goes on after its last whole stage.
+
 Decisions are brought back by doc_id and a hash of the text, nulls included, so rows that share an id but not
 the text are decided apart, and of rows that repeat both, one goes on. Rows to drop are broadcast up to
 BROADCAST_ROWS of them (counted first), else joined by a shuffle. Empty docs give an empty result of the same columns.
@@ -24,7 +26,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut, fingerprint, fresh, shared_folder, ship, table
+from tallyframe.llm.common import checkpoint_setting, cut, fingerprint, fresh, ship, table
 from tallyframe.llm.exact_dedup import exact_dedup
 from tallyframe.llm.language_id import UND, annotate
 from tallyframe.llm.mixing import schedule
@@ -89,16 +91,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _path(spark: SparkSession, name: str):
+    """A path and its file system, on the JVM's side."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
     """All stages over documents. Each result is written to the shared folder; once the next is written it goes, the last one stays."""
-    docs, before = table(spark, sf_dir, "documents"), None
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        before = path
+    folder = f"{checkpoint_setting(spark)}/pipeline-{run_id or uuid.uuid4().hex}"
+    paths = [f"{folder}/{k}-{name}" for k, (name, _) in enumerate(STAGES)]
+    whole = [k for k, p in enumerate(paths) for path, files in [_path(spark, f"{p}/_SUCCESS")] if files.exists(path)]
+    done = max(whole, default=-1)
+    docs = spark.read.parquet(paths[done]) if whole else table(spark, sf_dir, "documents")
+    for k, (_, stage) in list(enumerate(STAGES))[done + 1 :]:
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k])
+        docs = spark.read.parquet(paths[k])
+        for before in paths[:k]:
+            path, files = _path(spark, before)
+            files.delete(path, True)
     return docs
