@@ -1,3 +1,6 @@
+import uuid
+
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -48,3 +51,28 @@ def test_columns_pass_through_and_nothing_gives_nothing(spark, sf_dir):
     # one row of those that repeat id and text
     assert P.STAGES[1][1](spark, docs, sf_dir).where("doc_id = 5").count() == 1
     assert P.STAGES[4][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_a_run_goes_on_after_its_last_whole_stage(spark, sf_dir, monkeypatch):
+    run_id = uuid.uuid4().hex
+    called = []
+
+    def traced(name, stage, fails=False):
+        def f(spark, docs, sf_dir):
+            called.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return stage(spark, docs, sf_dir)
+
+        return name, f
+
+    stages = [(name, lambda spark, docs, sf_dir, k=k: docs.where(f"doc_id % 7 <> {k}")) for k, (name, _) in enumerate(P.STAGES)]
+    monkeypatch.setattr(P, "STAGES", [traced(n, f, k == 3) for k, (n, f) in enumerate(stages)])
+    with pytest.raises(RuntimeError):
+        P.run(spark, sf_dir, run_id)
+    monkeypatch.setattr(P, "STAGES", [traced(n, f) for n, f in stages])
+    got = P.run(spark, sf_dir, run_id)
+    names = [n for n, _ in stages]
+    assert called == names[:4] + names[3:]
+    want = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 7 > 4")
+    assert got.count() == want.count() > 0
