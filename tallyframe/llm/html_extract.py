@@ -46,7 +46,7 @@ MATCHES = 200_000
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(script|style|noscript|template|iframe|svg|canvas|object|select|textarea|title|math)\b[^>]*>.*?(?:</\1\s*>|\Z)
+    |<(script|style|noscript|template|iframe|svg|select|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)
     |<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*)>
     |<[/!?a-zA-Z][^>]*(?:>|\Z)
     |[^<]+|<""",
@@ -61,17 +61,19 @@ _BLOCKS = frozenset(
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NO_TEXT = frozenset("nav footer aside form button dialog menu head fieldset".split())
 _MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login "
-    "comment comments reply replies respond disqus related recommended share sharing social widget toolbar search pagination pager "
-    "copyright masthead topbar skip complementary contentinfo alert".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login "
+    "comment comments reply replies respond disqus masthead topbar contentinfo".split()
 )
+#: Words that mark what stands around an article; inside one they can be a name for its own text, and the differencing decides.
+_AROUND = frozenset("promo promotion banner overlay related recommended share sharing social widget toolbar search pagination pager copyright skip complementary alert".split())
 _INNER, _OUTER, _NONE = 1, 0, 2  # inside an article, neither, no article text
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes mark an element as no article text, and as the page's article."""
+def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether attributes mark an element, inside an article or not, as no article text, and as the page's article."""
     none = inner = False
+    marks = _MARKS if inside else _MARKS | _AROUND
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
@@ -81,7 +83,7 @@ def _marked(attributes: str) -> tuple[bool, bool]:
             inner |= value == "articlebody"
         else:
             words = re.split(r"[^a-z0-9]+", value)
-            none |= not _MARKS.isdisjoint(words)
+            none |= not marks.isdisjoint(words)
             inner |= name == "role" and value in ("main", "article")
     return none, inner
 
@@ -126,7 +128,7 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
                 if open_ and open_[-1][0] == "p":
                     _, none, inner = open_.pop()
             open_.append((name, none, inner))
-            marked, is_inner = _marked(found[4]) if found[4] else (False, False)
+            marked, is_inner = _marked(found[4], inner) if found[4] else (False, False)
             if name in ("article", "main") or is_inner:
                 inner = True
             if name in _NO_TEXT or marked and name not in ("html", "body", "article", "main"):
@@ -370,8 +372,8 @@ class _Run:
                     aligned = [(j, i) for i, j in self.pairs]
                 elif page is self.last and other is after:
                     aligned = pairs
-                else:
-                    aligned = shared(page.lines, other.lines)
+                else:  # the page before always stands first, as two alignments can be equally long
+                    aligned = shared(page.lines, other.lines) if other is after else [(j, i) for i, j in shared(other.lines, page.lines)]
                     if copies(page.lines, other.lines, aligned):
                         continue
                 text = left_over(page.lines, other.lines, aligned)

@@ -1,5 +1,11 @@
+import html
+import json
+import os
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyframe.llm import html_extract as H
 
@@ -131,10 +137,57 @@ def test_ranges_do_not_change_the_result(spark):
     assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
 
 
-def test_articles_of_the_table(spark, sf_dir):
-    import html
-    import re
+def split(url):
+    rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+    head = re.match("[^/?#]*", rest)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in head), re.match("[^?#]*", rest[len(head) :])[0]
+
+
+def plainly(rows):
+    """page_id and text of every page: the sorted table walked in one piece, each page against all of its host that is outside its run."""
+    found = [(*split(url), page_id, url or "", H.lines_of(page)) for page_id, url, page in rows]
+    found.sort(key=lambda r: (r[0], r[1], r[2], r[3], H._PACK.compress(json.dumps(r[4], ensure_ascii=False).encode())))
+    alike = lambda a, b: H.copies(a[4], b[4], H.shared(a[4], b[4]))
+    run = [0]
+    for a, b in zip(found, found[1:], strict=False):
+        run.append(run[-1] + (a[0] != b[0] or not alike(a, b)))
+    out = []
+    for k, page in enumerate(found):
+        prefix = lambda other: len(os.path.commonprefix([page[1], other[1]]))  # noqa: B023, E731
+        before = [o for o, r in zip(found, run, strict=False) if o[0] == page[0] and r == run[k] - 1][-1:]
+        after = [o for o, r in zip(found, run, strict=False) if o[0] == page[0] and r == run[k] + 1][:1]
+        near = sorted(before + after, key=lambda o: -prefix(o))
+        other = next((o for o in near if not alike(page, o)), None)
+        # of two alignments that are equally long the one counts that the page before begins
+        pairs = [(j, i) for i, j in H.shared(other[4], page[4])] if other in before else H.shared(page[4], other[4]) if other else []
+        out.append((page[2], H.left_over(page[4], other[4] if other else [], pairs)))
+    return sorted(out)
+
+
+def test_equals_a_walk_over_the_whole_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    frame = lambda k: f"<body><div>Frame {k // 40}</div><p>{'the same' if k % 9 in (2, 3) else f'{k} has a text of its own that is long'}</p><div>Foot {k // 6}</div>"
+    rows += [(10_000 + k, f"http://{'XyZ'[k % 3]}.org/{k // 12}/p{k % 4}?q={k}", frame(k)) for k in range(150)]
+    got = sorted((r.page_id, r.text) for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    want = plainly(rows)
+    assert [g for g, w in zip(got, want, strict=True) if g != w] == []
+
+
+def test_neighbours_decide_texts_of_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    alone = pages.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".org/")))
+    one, two = ({r.page_id: r.text for r in H.extract(d).collect()} for d in (pages, alone))
+    assert sum(one[k] != two[k] for k in one) >= 100 and all(len(one[k]) <= len(two[k]) for k in one)
+
+
+def test_words_that_name_an_articles_own_parts():
+    page = "<article><p>One</p><div class='share alert'><p>Two <math><mi>x</mi></math></p></div><object>three</object><div class='newsletter'>Buy</div></article><div class='share'>Post it</div>"
+    assert text(page) == "One\n\nTwo x\n\nthree"
+    assert text("<div class='share'>Post it</div><p>Own text</p>") == "Own text"
 
+
+def test_articles_of_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in H.extract(pages).collect()}
     for r in pages.collect():
