@@ -172,13 +172,16 @@ def _packed(dim: int, pivots: np.ndarray, seed_rows: np.ndarray, seed: np.ndarra
 def _dealt(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
     """rows with a block, and how many blocks there are; cells are as many as pivots."""
     counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, parts, total = [], [], 0
-    for cell in range(max(counts, default=-1) + 1):
-        first.append(total)
-        parts.append(max(1, -(-counts.get(cell, 0) // block)))
-        total += parts[-1]
     if not counts:
         return rows.withColumn("block", F.lit(0).cast("long")), 0
+    first, parts, total, room = [], [], 0, 0
+    for cell in range(max(counts) + 1):
+        n = counts.get(cell, 0)
+        if n > room:  # small cells share a block, a large one has its own
+            total, room = total + max(1, -(-n // block)), block if n <= block else n
+        parts.append(max(1, -(-n // block)))
+        first.append(total - parts[-1])
+        room = room - n if n <= block else 0
     of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("cell") + 1)
     return rows.withColumn("block", of(first) + F.pmod(F.xxhash64("row"), of(parts))), total
 
