@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.canonical import SECOND
-from tallyframe.operators.pair import TablePair
+from tallyframe.operators.pair import TablePair, side_by_side
 
 METRICS = ("count", "min", "max", "distinct_count", "sum", "avg")
 
@@ -24,14 +24,49 @@ def numeric(kind: T.DataType) -> bool:
 
 
 def metric_text(kind: T.DataType, c: Column, scale: int) -> Column:
-    """A value as text at the column's scale; times to the microsecond, so nothing that differs looks equal."""
+    """A value as text at the column's scale; times to the microsecond, so nothing that differs looks equal. NaN, infinities and numbers that
+    38 digits don't hold keep their own text."""
     if numeric(kind):
-        return F.round(c.cast(f"decimal(38,{scale})"), scale).cast("string")
+        exact = F.round(c.try_cast(f"decimal(38,{scale})"), scale).cast("string")
+        return F.coalesce(exact, c.cast("string"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, f"{SECOND}.SSSSSS")
     return c.cast("string")
 
 
+def exact_sum(kind: T.DataType, c: Column, scale: int) -> list[tuple[str, Column]]:
+    """Aggregates from which total_text makes the sum: exact of what 38 digits hold, the float sum of infinities and NaNs, and how many values are neither."""
+    exact = c.try_cast(f"decimal(38,{scale})") if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)) else c.cast("decimal(20,0)")
+    out = [("sum", F.try_sum(exact))]
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        endless = F.isnan(c) | (F.abs(c) == float("inf"))
+        out += [("odd", F.sum(F.when(endless, c.cast("double")))), ("wide", F.count_if(c.isNotNull() & exact.isNull() & ~endless))]
+    elif isinstance(kind, T.DecimalType):
+        out += [("wide", F.count_if(c.isNotNull() & exact.isNull()))]
+    return out
+
+
+def total_text(names: list[str], k: int, scale: int) -> Column:
+    """The sum as text: at the column's scale, NaN or an infinity if there are any, null where 38 digits don't hold it."""
+    total = F.col(f"__sum{k}").try_cast(f"decimal(38,{scale})").cast("string")
+    if "wide" in names:
+        total = F.when(F.col(f"__wide{k}") == 0, total)
+    return F.coalesce(F.col(f"__odd{k}").cast("string"), total) if "odd" in names else total
+
+
+def average_text(names: list[str], k: int, scale: int) -> Column:
+    """The sum over the count, with more digits than are kept while they fit, then rounded as the column is."""
+    total, n = F.col(f"__sum{k}"), F.col(f"__n{k}")
+    ratio = F.try_divide(total.try_cast(f"decimal(38,{scale})"), n.cast("decimal(20,0)"))
+    average = F.round(ratio, scale).try_cast(f"decimal(38,{scale})").cast("string")
+    if scale <= 26:
+        fine = F.try_divide(total.try_cast(f"decimal(26,{scale})"), n.try_cast("decimal(12,0)"))
+        average = F.coalesce(F.round(fine, scale).try_cast(f"decimal(38,{scale})").cast("string"), average)
+    if "wide" in names:
+        average = F.when(F.col(f"__wide{k}") == 0, average)
+    return F.coalesce(F.col(f"__odd{k}").cast("string"), average) if "odd" in names else average
+
+
 def two_passes(df: DataFrame, plain: list[Column], distinct: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
     """Aggregates and counts of distinct values side by side. Together in one aggregation, every row would be copied for every distinct
     count with all other aggregates' state; apart, the copies hold one value each."""
@@ -45,25 +80,25 @@ def two_passes(df: DataFrame, plain: list[Column], distinct: list[Column], by: t
     return one.join(two, on).drop(*[f"__by_{b}" for b in by])
 
 
-def column_aggregates(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_scale: int = 6, approximate: bool = False) -> DataFrame:
-    """by..., column_name and the METRICS as text, a row for each column.
+def column_aggregates(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_scale: int = 6, approximate: bool = False, scales: dict[str, int] | None = None) -> DataFrame:
+    """by..., column_name and the METRICS as text, a row for each column; scales are of columns that are compared at another scale than their own.
 
-    Counts of distinct values are exact unless approximate is asked for; sums that exceed 38 digits are null.
+    Counts of distinct values are exact unless approximate is asked for. Sums and averages of any NaN or infinity are one; those that
+    38 digits don't hold, or of numbers that they don't hold, are null.
     """
     aggregates, distincts, structs = [F.count(F.lit(1)).alias("__count")], [], []
     for k, name in enumerate(columns):
         kind, c = df.schema[name].dataType, F.col(name)
-        scale = scale_of(kind, float_scale)
+        scale = (scales or {}).get(name, scale_of(kind, float_scale))
         distinct = F.approx_count_distinct(c) if approximate else F.countDistinct(c)
         aggregates += [F.min(c).alias(f"__min{k}"), F.max(c).alias(f"__max{k}")]
         distincts.append(distinct.alias(f"__distinct{k}"))
         total = average = F.lit(None).cast("string")
         if numeric(kind):
-            exact = c.cast(f"decimal({min(38, 20 + scale)},{scale})")
-            aggregates += [F.try_sum(exact).alias(f"__sum{k}"), F.count(c).alias(f"__n{k}")]
-            total = F.round(F.col(f"__sum{k}"), scale).cast(f"decimal(38,{scale})").cast("string")
-            # sum over count at four more digits, then rounded as the column is
-            average = F.round((F.col(f"__sum{k}").cast(f"decimal({38 - 12},{scale})") / F.col(f"__n{k}").cast("decimal(12,0)")), scale).cast(f"decimal(38,{scale})").cast("string")
+            sums = exact_sum(kind, c, scale)
+            aggregates += [*[a.alias(f"__{n}{k}") for n, a in sums], F.count(c).alias(f"__n{k}")]
+            names = [n for n, _ in sums]
+            total, average = total_text(names, k, scale), average_text(names, k, scale)
         structs.append(
             F.struct(
                 F.lit(name).alias("column_name"),
@@ -93,17 +128,15 @@ def compare_aggregates(pair: TablePair, columns: list[str] | None = None, by: tu
     """
     columns = columns or [*pair.keys, *pair.values]
     keys = [*by, "column_name", "metric"]
-    # decimals are compared at the source's scale, so the target is brought to it
-    target = pair.target
-    for c in columns:
-        kind = pair.source.schema[c].dataType
-        if numeric(kind) and target.schema[c].dataType != kind and numeric(target.schema[c].dataType):
-            target = target.withColumn(c, F.col(c).cast(f"decimal(38,{scale_of(kind, float_scale)})"))
-    s, t = (long_form(column_aggregates(d, columns, by, float_scale), by) for d in (pair.source, target))
-    both = s.withColumnRenamed("value", "source_value").join(t.withColumnRenamed("value", "target_value"), keys, "full_outer")
+    # numbers are compared at the source's scale
+    kinds = {c: (pair.source.schema[c].dataType, pair.target.schema[c].dataType) for c in columns}
+    scales = {c: scale_of(ks, float_scale) for c, (ks, kt) in kinds.items() if numeric(ks) and numeric(kt) and ks != kt}
+    s, t = (long_form(column_aggregates(d, columns, by, float_scale, scales=scales), by) for d in (pair.source, pair.target))
+    both = side_by_side(s, t, keys, ["value"])
     same = F.col("source_value").eqNullSafe(F.col("target_value"))
     for name, most in (tolerance or {}).items():
-        close = F.abs(F.col("source_value").cast("decimal(38,10)") - F.col("target_value").cast("decimal(38,10)")) <= F.lit(most).cast("decimal(38,10)")
+        number = lambda side: F.col(f"{side}_value").try_cast("decimal(38,10)")
+        close = F.abs(F.try_subtract(number("source"), number("target"))) <= F.lit(most).cast("decimal(38,10)")
         same = same | ((F.lower("column_name") == name.lower()) & F.col("metric").isin("sum", "avg") & F.coalesce(close, F.lit(False)))
     return both.withColumn("match", same)
 

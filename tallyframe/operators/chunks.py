@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.hashing import list_digest, row_hash
-from tallyframe.operators.pair import TablePair
+from tallyframe.operators.pair import TablePair, side_by_side
 
-#: Ranges that an ordered numbering is split into.
-RANGES = 64
+#: An ordered numbering is split into as many ranges as there are shuffle partitions, at least so many, and each is drawn from so many keys.
+RANGES, DRAWN = 64, 16
 
 
 def by_width(key: str, size: int) -> Column:
@@ -35,53 +37,68 @@ def should_fall_back(mismatches: int, limit: int = 3) -> bool:
     return mismatches >= limit
 
 
-def _range_of(df: DataFrame, keys: tuple[str, ...], ranges: int) -> tuple[list, Column]:
-    """Starts of about equal ranges of the keys (at most ranges of them, from a sample of fixed size), and a row's range."""
-    key = F.struct(*keys)
-    sample = df.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys))
-    # a sample of bounded size: the least hashes, chosen by partial sorts
-    rows = sample.orderBy(F.xxhash64(*keys)).limit(ranges * 32).orderBy(*keys).collect()
-    starts = [tuple(r) for r in rows[32::32]] if len(rows) > 64 else []
-    starts = sorted(set(starts))
-    if not starts:
-        return [], F.lit(0)
-    literal = F.array(*[F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for v, k in zip(s, keys, strict=True)]) for s in starts])
-    return starts, F.size(F.filter(literal, lambda s: s <= key))
-
-
-def numbered(df: DataFrame, keys: tuple[str, ...], name: str = "rn", ranges: int = RANGES) -> DataFrame:
+@dataclass(frozen=True)
+class Ranges:
+    """About equal ranges of the keys of a table: where each but the first starts."""
+
+    keys: tuple[str, ...]
+    starts: list[tuple]
+
+    @classmethod
+    def of(cls, df: DataFrame, keys: tuple[str, ...], ranges: int | None = None) -> Ranges:
+        """From the keys whose hash falls in a class of about ranges * DRAWN; one pass over the key columns, and a key that repeats counts once."""
+        ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        known = df.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys))
+        every = max(1, known.count() // (ranges * DRAWN))
+        drawn = known.where(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0).distinct().limit(8 * ranges * DRAWN)
+        rows = sorted(tuple(r) for r in drawn.collect())
+        if len(rows) < 2 * DRAWN:
+            return cls(keys, [])
+        return cls(keys, sorted({rows[len(rows) * k // ranges] for k in range(1, ranges)}))
+
+    def place(self, df: DataFrame) -> Column:
+        """The number of the range that a row is in, by binary search."""
+        if not self.starts:
+            return F.lit(0)
+        kinds = {k: df.schema[k].dataType for k in self.keys}
+        starts = F.array(*[F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for v, k in zip(s, self.keys, strict=True)]) for s in self.starts])
+        key = F.struct(*self.keys)
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(self.starts).bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(starts, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
+
+
+def numbered(df: DataFrame, keys: tuple[str, ...], name: str = "rn", ranges: Ranges | None = None) -> DataFrame:
     """df with the number of each row (from 0) in key order.
 
     Rows are numbered within ranges of the key and the sizes of the ranges before are added, so no task sorts the whole table.
     """
-    _, place = _range_of(df, keys, ranges)
-    marked = df.withColumn("__range", place)
+    ranges = ranges or Ranges.of(df, keys)
+    marked = df.withColumn("__range", ranges.place(df))
     sizes = marked.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # one row a range
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
     return marked.join(F.broadcast(before), "__range").withColumn(name, own - 1 + F.col("__before")).drop("__range", "__before")
 
 
-def keyset_bounds(df: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
+def keyset_bounds(df: DataFrame, keys: tuple[str, ...], size: int, ranges: Ranges | None = None) -> DataFrame:
     """chunk_id and the first key of each chunk of size rows, as start_<key>, and of the chunk after, as end_<key> (null at the end)."""
-    starts = numbered(df.select(*keys), keys).where(F.col("rn") % size == 0).withColumn("chunk_id", (F.col("rn") / size).cast("long"))
-    after = Window.orderBy("chunk_id")  # a row for each chunk
-    return starts.select("chunk_id", *[F.col(k).alias(f"start_{k}") for k in keys], *[F.lead(k).over(after).alias(f"end_{k}") for k in keys])
+    starts = numbered(df.select(*keys), keys, ranges=ranges).where(F.col("rn") % size == 0).withColumn("chunk_id", (F.col("rn") / size).cast("long"))
+    after = starts.select((F.col("chunk_id") - 1).alias("chunk_id"), *[F.col(k).alias(f"end_{k}") for k in keys])
+    return starts.select("chunk_id", *[F.col(k).alias(f"start_{k}") for k in keys]).join(after, "chunk_id", "left")
 
 
-def with_keyset(df: DataFrame, bounds: DataFrame, keys: tuple[str, ...], ranges: int = RANGES) -> DataFrame:
+def with_keyset(df: DataFrame, bounds: DataFrame, keys: tuple[str, ...], ranges: Ranges | None = None) -> DataFrame:
     """df with the chunk_id of the half-open range of bounds that its key is in; keys under the first start are in the first."""
-    _, place = _range_of(df, keys, ranges)
+    ranges = ranges or Ranges.of(df, keys)
     starts = bounds.select(*[F.col(f"start_{k}").alias(k) for k in keys], F.col("chunk_id").alias("__start"), F.lit(0).alias("__row"))
-    rows = df.withColumn("__start", F.lit(None).cast("long")).withColumn("__row", F.lit(1))
-    both = rows.unionByName(starts, allowMissingColumns=True).withColumn("__range", place)
-    first = both.where("__row = 0").groupBy("__range").agg(F.max("__start").alias("__last"))
-    carried = first.withColumn("__range", F.col("__range") + 1)
-    # the last start of the ranges before goes to ranges whose first rows stand before any start
-    ranges_seen = both.select("__range").distinct().join(carried, "__range", "left")
-    filled = ranges_seen.withColumn("__carried", F.max("__last").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))).drop("__last")
+    starts = starts.withColumn("__range", ranges.place(starts))
+    rows = df.withColumn("__start", F.lit(None).cast("long")).withColumn("__row", F.lit(1)).withColumn("__range", ranges.place(df))
+    # the last start of the ranges before goes to rows that stand before any start of their own range
+    last = starts.groupBy("__range").agg(F.max("__start").alias("__last"))
+    seen = df.sparkSession.range(len(ranges.starts) + 1).select(F.col("id").cast("int").alias("__range")).join(last.withColumn("__range", F.col("__range") + 1), "__range", "left")
+    carried = seen.select("__range", F.max("__last").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)).alias("__carried"))  # one row a range
     inside = F.last("__start", True).over(Window.partitionBy("__range").orderBy(*keys, "__row").rowsBetween(Window.unboundedPreceding, 0))
-    placed = both.withColumn("__inside", inside).join(F.broadcast(filled), "__range")
+    placed = rows.unionByName(starts, allowMissingColumns=True).withColumn("__inside", inside).join(F.broadcast(carried), "__range")
     return placed.where("__row = 1").withColumn("chunk_id", F.coalesce("__inside", "__carried", F.lit(0).cast("long"))).drop("__start", "__row", "__range", "__inside", "__carried")
 
 
@@ -93,8 +110,9 @@ def with_chunks(pair: TablePair, size: int, how: str | None = None) -> TablePair
     elif how == "between":
         source, target = (d.withColumn("chunk_id", by_width(pair.keys[0], size)) for d in (pair.source, pair.target))
     else:
-        bounds = keyset_bounds(pair.source, pair.keys, size)
-        source, target = (with_keyset(d, bounds, pair.keys) for d in (pair.source, pair.target))
+        ranges = Ranges.of(pair.source, pair.keys)  # drawn once, for the bounds and both sides
+        bounds = keyset_bounds(pair.source, pair.keys, size, ranges).persist()
+        source, target = (with_keyset(d, bounds, pair.keys, ranges) for d in (pair.source, pair.target))
     return TablePair(source, target, pair.keys, pair.columns)
 
 
@@ -104,12 +122,11 @@ def digests(df: DataFrame, columns: list[str], by: list[str], policy: str = "dis
 
 
 def compare_digests(source: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
-    """by..., source_rows, target_rows, source_hash, target_hash, match. A group empty on both sides does not occur, and would match."""
-    s = source.select(*by, F.col("row_count").alias("source_rows"), F.col("digest").alias("source_hash"))
-    t = target.select(*by, F.col("row_count").alias("target_rows"), F.col("digest").alias("target_hash"))
-    both = s.join(t, by, "full_outer")
+    """by..., source_rows, target_rows, source_hash, target_hash, match. Rows whose by is null are a group like any other; one empty on both sides does not occur, and would match."""
+    s, t = (d.select(*by, F.col("row_count").alias("rows"), F.col("digest").alias("hash")) for d in (source, target))
     zero = F.lit(0).cast("long")
-    return both.select(*by, F.coalesce("source_rows", zero).alias("source_rows"), F.coalesce("target_rows", zero).alias("target_rows"), "source_hash", "target_hash", F.col("source_hash").eqNullSafe(F.col("target_hash")).alias("match"))
+    counts = [F.coalesce(f"{side}_rows", zero).alias(f"{side}_rows") for side in ("source", "target")]
+    return side_by_side(s, t, by, ["rows", "hash"]).select(*by, *counts, "source_hash", "target_hash", F.col("source_hash").eqNullSafe(F.col("target_hash")).alias("match"))
 
 
 def compare_chunks(pair: TablePair, size: int, how: str | None = None, policy: str = "distinct", columns: list[str] | None = None, lobs=(), strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.typemap import RANGES
-from tallyframe.operators.aggregates import metric_text, numeric, scale_of, two_passes
+from tallyframe.operators.aggregates import exact_sum, metric_text, numeric, scale_of, total_text, two_passes
 from tallyframe.operators.pair import TablePair
 
 WIDE = "decimal(38,10)"
@@ -51,9 +51,10 @@ def eight_digit_day(kind: T.DataType, c: Column, strict: bool = True) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def profile(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_scale: int = 6, strict_days: bool = True) -> DataFrame:
+def profile(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_scale: int = 6, strict_days: bool = True, narrower: bool = False) -> DataFrame:
     """by..., column_name, row_count, null_count, distinct_count, min_value, max_value, fraction_row_count, sum_value, non_zero_time_count,
-    day_count (values that read as dates), null_ratio, distinct_ratio; a row for each column."""
+    day_count (values that read as dates), null_ratio, distinct_ratio; a row for each column. narrower adds out_<type> and loss_<type>: how many numbers are
+    beyond each whole type and how many a cast to it would change, in the same pass."""
     out, distincts, structs = [F.count(F.lit(1)).alias("__rows")], [], []
     for k, name in enumerate(columns):
         kind, c = df.schema[name].dataType, F.col(name)
@@ -62,7 +63,14 @@ def profile(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_s
         distincts.append(F.countDistinct(c).alias(f"__distinct{k}"))
         nothing = F.lit(None)
         if numeric(kind):
-            out += [F.count_if(fraction(c)).alias(f"__fraction{k}"), F.try_sum(c.cast(f"decimal({min(38, 20 + scale)},{scale})")).alias(f"__sum{k}")]
+            sums = exact_sum(kind, c, scale)
+            out += [F.count_if(fraction(c)).alias(f"__fraction{k}"), *[a.alias(f"__{n}{k}") for n, a in sums]]
+        more = []
+        if narrower:
+            for t in RANGES:
+                tests = (("out", F.lit(False) if t == "BIGINT" else out_of_range(c, t)), ("loss", cast_loss(c, t))) if numeric(kind) else ()
+                out += [F.count_if(test).alias(f"__{n}{t}{k}") for n, test in tests]
+                more += [(F.col(f"__{n}{t}{k}") if numeric(kind) else nothing.cast("long")).alias(f"{n}_{t}") for n in ("out", "loss")]
         temporal = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
         rows = F.greatest(F.col("__rows"), F.lit(1))
         structs.append(
@@ -74,11 +82,12 @@ def profile(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), float_s
                 metric_text(kind, F.col(f"__min{k}"), scale).alias("min_value"),
                 metric_text(kind, F.col(f"__max{k}"), scale).alias("max_value"),
                 (F.col(f"__fraction{k}") if numeric(kind) else nothing.cast("long")).alias("fraction_row_count"),
-                (F.col(f"__sum{k}").cast(f"decimal(38,{scale})").cast("string") if numeric(kind) else nothing.cast("string")).alias("sum_value"),
+                (total_text([n for n, _ in sums], k, scale) if numeric(kind) else nothing.cast("string")).alias("sum_value"),
                 (F.col(f"__timed{k}") if temporal else nothing.cast("long")).alias("non_zero_time_count"),
                 F.col(f"__day{k}").alias("day_count"),
                 (F.col(f"__null{k}") / rows).alias("null_ratio"),
                 (F.col(f"__distinct{k}") / rows).alias("distinct_ratio"),
+                *more,
             )
         )
     wide = two_passes(df, out, distincts, by)

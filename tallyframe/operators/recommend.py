@@ -42,7 +42,7 @@ def _fits(lo: Column, hi: Column, name: str) -> Column:
 def both_sides(profiles: DataFrame) -> DataFrame:
     """Profiles of two sides (with column side) as one row for each column."""
     own = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    kept = ("row_count", "null_count", "distinct_count", "min_value", "max_value", "fraction_row_count", "sum_value", "non_zero_time_count", "day_count")
+    kept = ("row_count", "null_count", "distinct_count", "min_value", "max_value", "fraction_row_count", "sum_value", "non_zero_time_count", "day_count", *(c for c in profiles.columns if c.startswith(("out_", "loss_"))))
     return profiles.groupBy("column_name").agg(*[own(side, c).alias(f"{side[0]}_{c}") for side in ("source", "target") for c in kept])
 
 
@@ -81,13 +81,13 @@ def _typed(pair: TablePair, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "column_name string, current_type string, metadata_type string, source_type string, source_scale int")
 
 
-def recommend(pair: TablePair, columns: list[str] | None = None, keys: Keys = Keys(), strict_days: bool = True) -> DataFrame:
+def recommend(pair: TablePair, columns: list[str] | None = None, keys: Keys = Keys(), strict_days: bool = True, narrower: bool = False) -> DataFrame:
     """column_name, current_type, metadata_type, recommended_type, final_type, with both sides' statistics.
 
     final_type is that of the data, or the dictionary's where the data says no more than NUMERIC; a key is at least a BIGINT.
     """
     columns = columns or [*pair.keys, *pair.values]
-    found = recommended_type(both_sides(P.profile_pair(pair, columns, strict_days=strict_days)))
+    found = recommended_type(both_sides(P.profile_pair(pair, columns, strict_days=strict_days, narrower=narrower)))
     found = found.join(F.broadcast(_typed(pair, columns)), "column_name")
     final = F.when(F.col("recommended_type") != "NUMERIC", F.col("recommended_type")).otherwise(F.col("metadata_type"))
     held = F.lower("column_name").isin(keys.held) if keys.held else F.lit(False)
@@ -118,19 +118,18 @@ def candidates(pair: TablePair, schema: str, table: str, chunks: DataFrame | Non
     dry_run_loss_count, sum_difference, message, ddl. chunks is the result of compare_chunks: a mismatch speaks against every column.
     """
     columns = [c for c in (columns or [*pair.keys, *pair.values]) if numeric(pair.source.schema[c].dataType)]
-    found = recommend(pair, columns, keys)
+    found = recommend(pair, columns, keys, narrower=True)  # one pass a side, with the counts for every target type
     target = F.when(F.col("lo").isNull() | _fits(F.col("lo"), F.col("hi"), "BIGINT") & ~_fits(F.col("lo"), F.col("hi"), "INTEGER"), F.lit("BIGINT"))
     target = target.when(_fits(F.col("lo"), F.col("hi"), "SMALLINT"), F.lit("SMALLINT")).when(_fits(F.col("lo"), F.col("hi"), "INTEGER"), F.lit("INTEGER")).otherwise(F.lit("BIGINT"))
     held = F.col("is_key") & target.isin("SMALLINT", "INTEGER")
     d = found.withColumn("key_stays", held).withColumn("target_type", F.when(held, F.lit("BIGINT")).otherwise(target))
     for name in RANGES:
-        out, loss = P.count_out_of_range(pair, columns, name).withColumnRenamed("out_of_range_rows", f"out_{name}"), P.count_cast_loss(pair.target, columns, name).withColumnRenamed("cast_loss_rows", f"loss_{name}")
-        d = d.join(F.broadcast(out), "column_name").join(F.broadcast(loss), "column_name")
+        d = d.withColumn(f"out_{name}", F.col(f"s_out_{name}") + F.col(f"t_out_{name}")).withColumn(f"loss_{name}", F.col(f"t_loss_{name}"))
     by_target = lambda x: F.when(F.col("target_type") == "SMALLINT", F.col(f"{x}_SMALLINT")).when(F.col("target_type") == "INTEGER", F.col(f"{x}_INTEGER")).otherwise(F.col(f"{x}_BIGINT"))
     most = F.lit(tolerance).cast(WIDE)
     for c, v in (by_column or {}).items():
         most = F.when(F.lower("column_name") == c.lower(), F.lit(v).cast(WIDE)).otherwise(most)
-    gap = F.abs(F.col("s_sum_value").try_cast(WIDE) - F.col("t_sum_value").try_cast(WIDE))
+    gap = F.abs(F.try_subtract(F.col("s_sum_value").try_cast(WIDE), F.col("t_sum_value").try_cast(WIDE)))
     d = d.withColumn("out_of_range_rows", by_target("out")).withColumn("dry_run_loss_count", by_target("loss")).withColumn("sum_difference", gap)
     if chunks is not None:
         bad = chunks.agg(F.count_if(~F.col("match")).alias("bad")).withColumn("one", F.lit(1))
