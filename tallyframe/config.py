@@ -49,6 +49,7 @@ class Validation:
     lob_sample_size: int = 1024
     lob_prefix: int = 100
     immutable_before: str | None = None
+    check_keys: bool = True
 
     def __post_init__(self):
         if self.null_empty_policy not in NULL_EMPTY_POLICIES:

@@ -65,10 +65,10 @@ def canonical(field: T.StructField, c: Column, policy: str = "distinct", lob: bo
     return with_policy(value_text(field.dataType, c, lob, prefix), policy)
 
 
-def row_text(schema: T.StructType, columns: list[str], policy: str = "distinct", lobs=(), strict: bool = False) -> Column:
+def row_text(schema: T.StructType, columns: list[str], policy: str = "distinct", lobs=(), strict: bool = False, prefix: int = LOB_PREFIX) -> Column:
     """Canonical texts of the columns in a row; strict puts each text's length before it, so no two rows share a text."""
     by_name = {f.name.lower(): f for f in schema.fields}
-    parts = [canonical(by_name[c.lower()], F.col(c), policy, c.lower() in lobs or None) for c in columns]
+    parts = [canonical(by_name[c.lower()], F.col(c), policy, c.lower() in lobs or None, prefix) for c in columns]
     if strict:
         parts = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
     return F.concat_ws(SEPARATOR, *parts)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.canonical import row_text
+from tallyframe.functions.canonical import LOB_PREFIX, row_text
 
 ALGORITHM = "sha256"
 
 
-def row_hash(df: DataFrame, columns: list[str], policy: str = "distinct", lobs=(), strict: bool = False) -> Column:
+def row_hash(df: DataFrame, columns: list[str], policy: str = "distinct", lobs=(), strict: bool = False, prefix: int = LOB_PREFIX) -> Column:
     """Lower-case hex SHA-256 of the row's canonical text in UTF-8."""
-    return F.sha2(row_text(df.schema, columns, policy, lobs, strict), 256)
+    return F.sha2(row_text(df.schema, columns, policy, lobs, strict, prefix), 256)
 
 
 def list_digest(hashes: Column) -> Column:

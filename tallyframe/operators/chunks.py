@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.canonical import LOB_PREFIX
 from tallyframe.functions.hashing import list_digest, row_hash
 from tallyframe.operators.pair import TablePair, side_by_side
 
@@ -116,9 +117,9 @@ def with_chunks(pair: TablePair, size: int, how: str | None = None) -> TablePair
     return TablePair(source, target, pair.keys, pair.columns)
 
 
-def digests(df: DataFrame, columns: list[str], by: list[str], policy: str = "distinct", lobs=(), strict: bool = False) -> DataFrame:
+def digests(df: DataFrame, columns: list[str], by: list[str], policy: str = "distinct", lobs=(), strict: bool = False, prefix: int = LOB_PREFIX) -> DataFrame:
     """by..., row_count, digest of the row hashes. For groups of bounded size; groups of any size take hashing.tree_digest."""
-    return df.select(*by, row_hash(df, columns, policy, lobs, strict).alias("__h")).groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), list_digest(F.col("__h")).alias("digest"))
+    return df.select(*by, row_hash(df, columns, policy, lobs, strict, prefix).alias("__h")).groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), list_digest(F.col("__h")).alias("digest"))
 
 
 def compare_digests(source: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
@@ -145,6 +146,20 @@ def null_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return df.agg(F.count_if(none).alias("null_key_rows"))
 
 
+def key_problems(pair: TablePair) -> DataFrame:
+    """side, null_key_rows, repeated_keys, rows_of_repeated_keys of both sides: what speaks against the key. One grouping of the key columns a side."""
+
+    def side(df, name):
+        none = F.lit(False)
+        for k in pair.keys:
+            none = none | F.col(k).isNull()
+        groups = df.groupBy(*pair.keys).agg(F.count(F.lit(1)).alias("n")).withColumn("none", none)
+        counts = [F.coalesce(F.sum(F.when(F.col("none"), F.col("n"))), F.lit(0).cast("long")).alias("null_key_rows"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0).cast("long")).alias("rows_of_repeated_keys")]
+        return groups.agg(*counts).withColumn("side", F.lit(name))
+
+    return side(pair.source, "source").unionByName(side(pair.target, "target")).select("side", "null_key_rows", "repeated_keys", "rows_of_repeated_keys")
+
+
 def page(df: DataFrame, keys: tuple[str, ...], after: tuple | None, size: int) -> DataFrame:
     """The next size rows in key order after a key: a struct comparison, not an OFFSET."""
     if after is not None:

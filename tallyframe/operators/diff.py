@@ -97,21 +97,39 @@ def multiset_diff(pair: TablePair) -> DataFrame:
     return counts.where("__n <> 0").select(*columns, F.when(F.col("__n") > 0, F.lit(MISSING)).otherwise(F.lit(EXTRA)).alias("reason"), F.abs("__n").alias("copies"))
 
 
-def drill_down(pair: TablePair, failed: DataFrame, tolerance: str = "0.0001", sample: int = 10, most: int = 10, by_column: dict[str, str] | None = None, policy: str = "distinct") -> DataFrame:
-    """Differences within failed chunks (chunk_id): of each the first sample keys of both sides, and of those at most most differences.
+def repeated_keys(pair: TablePair) -> DataFrame:
+    """key... of the keys that more rows than one of a side have."""
+    counts = [d.groupBy(*pair.keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*pair.keys) for d in (pair.source, pair.target)]
+    return counts[0].unionByName(counts[1]).distinct()
 
-    chunk_id, key..., column_name, source_value, target_value, difference, reason, early_exit (the chunk reached most).
-    pair has chunk_id on both sides.
+
+def keyed_diff(pair: TablePair, tolerance: str = "0.0001", by_column: dict[str, str] | None = None, policy: str = "distinct") -> DataFrame:
+    """As row_diff; rows whose key repeats on a side are compared as a multiset, a row of the result (missing or extra) for each copy that one side has more."""
+    repeated = repeated_keys(pair).persist()
+    on = lambda d: [d[k].eqNullSafe(repeated[k]) for k in pair.keys]
+    split = lambda how: TablePair(*(d.join(repeated, on(d), how) for d in (pair.source, pair.target)), pair.keys, pair.columns)
+    once = row_diff(split("left_anti"), tolerance, by_column, policy)
+    copies = multiset_diff(split("left_semi")).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    none = {c: F.lit(None).cast(once.schema[c].dataType) for c in ("column_name", "source_value", "target_value", "difference")}
+    return once.unionByName(copies.withColumns(none).select(*once.columns))
+
+
+def drill_down(pair: TablePair, failed: DataFrame, tolerance: str = "0.0001", sample: int = 10, most: int = 10, by_column: dict[str, str] | None = None, policy: str = "distinct", by: tuple[str, ...] = ()) -> DataFrame:
+    """Differences within failed chunks (by..., chunk_id): of each the first sample keys of both sides, and of those at most most differences.
+
+    by..., chunk_id, key..., column_name, source_value, target_value, difference, reason, early_exit (the chunk reached most).
+    pair has the columns of by and chunk_id on both sides; a null in them is a chunk like any other. A key that repeats is compared as a multiset of its rows.
     """
-    chunks = failed.select("chunk_id").distinct()
-    source, target = (d.join(chunks, "chunk_id", "left_semi") for d in (pair.source, pair.target))
-    keys = ["chunk_id", *pair.keys]
-    first = Window.partitionBy("chunk_id").orderBy(*pair.keys)
+    names = [*by, "chunk_id"]
+    chunks = failed.select(*names).distinct()
+    equal = lambda a, b, columns: [a[k].eqNullSafe(b[k]) for k in columns]
+    source, target = (d.join(chunks, equal(d, chunks, names), "left_semi") for d in (pair.source, pair.target))
+    keys = list(dict.fromkeys([*names, *pair.keys]))
+    first = Window.partitionBy(*names).orderBy(*pair.keys)
     wanted = source.select(*keys).unionByName(target.select(*keys)).distinct().withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= sample).drop("__k")
-    on = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    source, target = (d.join(wanted, on(d, wanted), "left_semi") for d in (source, target))
-    columns = tuple(c for c in pair.values if c != "chunk_id")
-    found = row_diff(TablePair(source, target, tuple(keys), columns), tolerance, by_column, policy)
-    order = Window.partitionBy("chunk_id").orderBy(*pair.keys, "column_name")
-    found = found.withColumn("__k", F.row_number().over(order)).withColumn("early_exit", F.count(F.lit(1)).over(Window.partitionBy("chunk_id")) >= most)
+    source, target = (d.join(wanted, equal(d, wanted, keys), "left_semi") for d in (source, target))
+    columns = tuple(c for c in pair.values if c not in names)
+    found = keyed_diff(TablePair(source, target, tuple(keys), columns), tolerance, by_column, policy)
+    order = Window.partitionBy(*names).orderBy(*pair.keys, "column_name")
+    found = found.withColumn("__k", F.row_number().over(order)).withColumn("early_exit", F.count(F.lit(1)).over(Window.partitionBy(*names)) >= most)
     return found.where(F.col("__k") <= most).drop("__k")

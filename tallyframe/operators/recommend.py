@@ -164,7 +164,7 @@ def candidates(pair: TablePair, schema: str, table: str, chunks: DataFrame | Non
 
 
 def changeable(pair: TablePair, columns: list[str] | None = None, keys: Keys = Keys()) -> DataFrame:
-    """Columns whose data or dictionary says more than NUMERIC: column_name, current_type, recommended_type, source_type, in_index, null_ratio, distinct_ratio, hint, time_profile."""
+    """Columns whose data or dictionary says more than NUMERIC: column_name, current_type, recommended_type, source_type, in_index, null_ratio, distinct_ratio, hint, time_profile, fractions (rows of both sides with one)."""
     d = recommend(pair, columns, keys).where((F.col("recommended_type") != "NUMERIC") | (F.col("metadata_type") != "NUMERIC"))
     rows = F.greatest("s_row_count", F.lit(1))
     nulls, distinct = F.col("s_null_count") / rows, F.col("s_distinct_count") / rows
@@ -172,4 +172,4 @@ def changeable(pair: TablePair, columns: list[str] | None = None, keys: Keys = K
     hint = F.when(nulls > MANY_NULLS, F.lit("mostly null: a narrower type saves little")).when(distinct < FEW_DISTINCT, F.lit("few distinct values: a code or flag")).otherwise(F.lit(""))
     timed = F.coalesce("s_non_zero_time_count", F.lit(0)) + F.coalesce("t_non_zero_time_count", F.lit(0))
     times = F.when(F.col("recommended_type") == "DATE", F.lit("no time of day in use")).when(F.col("recommended_type") == "TIMESTAMP", F.concat(timed.cast("string"), F.lit(" rows have a time of day")))
-    return d.select("column_name", "current_type", "recommended_type", "source_type", indexed.alias("in_index"), nulls.alias("null_ratio"), distinct.alias("distinct_ratio"), hint.alias("hint"), times.alias("time_profile"))
+    return d.select("column_name", "current_type", "recommended_type", "source_type", indexed.alias("in_index"), nulls.alias("null_ratio"), distinct.alias("distinct_ratio"), hint.alias("hint"), times.alias("time_profile"), "fractions")

@@ -18,6 +18,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "4g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.checkpoint.dir", str(root / "checkpoints"))
         .config("spark.sql.warehouse.dir", str(root / "warehouse"))
         .config("spark.driver.extraJavaOptions", f"-Dderby.system.home={root}")
@@ -28,6 +30,13 @@ def spark(tmp_path_factory):
     s.stop()
 
 
+@pytest.fixture(autouse=True)
+def nothing_stays_cached(request):
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF

@@ -1,5 +1,6 @@
 import json
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ def test_same_table_is_identical(spark, sf_dir):
     p = load(spark, sf_dir, "orders")
     assert Engine(settings()).validate("s", "orders", p.source, p.source).identical
     assert Engine(settings()).validate("s", "other", p.source, p.source).identical  # no key
-    assert not Engine(settings()).validate("s", "other", p.source, p.target).identical
+    out = Engine(settings()).validate("s", "other", p.source, p.target)
+    assert not out.identical
+    out.release()
 
 
 def test_partitions_and_light_ones(spark, sf_dir):
@@ -50,6 +53,70 @@ def test_partitions_and_light_ones(spark, sf_dir):
     assert sum(r["rows"] for r in summary["partition_results"]) == p.source.count()
 
 
+def test_a_column_that_one_side_lacks_is_no_match(spark):
+    s = spark.createDataFrame([(1, "a", 2)], "k long, v string, w int")
+    out = Engine().validate("s", "t", s, s.drop("w"), pk=("k",))
+    assert not out.identical and out.reports()[0]["column_mismatches"] == [{"column_name": "w", "source_type": "int", "target_type": None, "reason": "missing_in_target"}]
+    assert not Engine().validate("s", "t", s.drop("w"), s, pk=("k",)).identical
+    assert Engine().validate("s", "t", s, s.drop("w"), pk=("k",), columns=("v",)).identical
+    with pytest.raises(ValueError):
+        Engine().validate("s", "t", s, s, pk=("k",), columns=("v", "none"))
+    with pytest.raises(ValueError):
+        Engine().validate("s", "t", s, s.drop("k"), pk=("k",))
+
+
+def test_null_and_repeated_keys(spark):
+    s = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "d")], "k long, v string")
+    for how in (False, True):
+        out = Engine().validate("s", "t", s, s, pk=("k",), force_keyset=how)
+        assert out.identical and out.reports()[0]["mismatch_details"] == []
+        assert out.reports()[0]["key_problems"][0] == {"side": "source", "null_key_rows": 2, "repeated_keys": 2, "rows_of_repeated_keys": 5}
+    assert Engine().full_compare("s", "t", s, s, ("k",)).count() == 0
+    less = spark.createDataFrame([(1, "a"), (1, "b"), (2, "x"), (None, "d"), (None, "d")], "k long, v string")
+    found = sorted((r.k, r.column_name, r.reason) for r in Engine().full_compare("s", "t", s, less, ("k",)).collect())
+    assert found == [(1, None, "missing_in_target"), (2, "v", "value_mismatch")]
+    assert not Engine().validate("s", "t", s, less, pk=("k",)).identical
+
+
+def test_odd_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    kind = "k long, d double, w decimal(38,18), n decimal(38,0)"
+    rows = [(1, 1.0, Decimal("1e9"), Decimal(10) ** 37), (2, nan, Decimal("2e9"), Decimal(1)), (3, 1e33, None, None)]
+    s = spark.createDataFrame(rows, kind)
+    assert Engine().validate("s", "t", s, s, pk=("k",)).identical
+    other = spark.createDataFrame([(1, 1.0, Decimal("1e9"), Decimal(10) ** 37), (2, inf, Decimal("2e9"), Decimal(1)), (3, 1e33, None, None)], kind)
+    assert not Engine().validate("s", "t", s, other, pk=("k",)).identical
+
+
+def test_large_objects_are_compared_by_samples(spark):
+    s = spark.createDataFrame([(k, "x" * 3000 + str(k)) for k in range(20)], "k long, text string")
+    end = s.withColumn("text", F.when(F.col("k") == 7, F.concat(F.col("text").substr(1, 2000), F.lit("y" * 1001))).otherwise(F.col("text")))
+    assert Engine().validate("s", "t", s, s, pk=("k",), lobs=("text",)).identical
+    out = Engine().validate("s", "t", s, end, pk=("k",), lobs=("text",))
+    assert out.reports()[0]["match_rate"] == 1.0 and [x["column_name"] for x in out.reports()[0]["lob_mismatches"]] == ["text"] and not out.identical
+    # with a longer prefix the chunks see it too
+    assert Engine(settings(lob_prefix=2500)).validate("s", "t", s, end, pk=("k",), lobs=("text",)).reports()[0]["match_rate"] < 1
+
+
+def test_light_partitions_get_no_drill_down(spark):
+    """A chunk that stands in a light and in a full partition, both with a difference; and a row in no partition."""
+    rows = [(k, k % 3, "a") for k in range(30)]
+    s = spark.createDataFrame(rows, "k long, part int, v string")
+    t = s.withColumn("v", F.when(F.col("k").isin(3, 4, 5), F.lit("b")).otherwise(F.col("v")))
+    ranges = spark.createDataFrame([("P0", None, "1"), ("P1", "1", "2")], "partition_name string, range_start string, range_end string")
+    own = config.settings_of({"validation": {"chunk_size": 1000}}, {"s": {"t": {"pk_columns": ["k"], "validation_mode": {"partition_aware": {"partition_key": "part"}}}}})
+    assert {(r.k, r.partition_name) for r in Engine(own).validate("s", "t", s, t, partitions=ranges).differences.collect()} == {(3, "P0"), (4, "P1"), (5, None)}
+    light = ranges.withColumn("range_end", F.when(F.col("partition_name") == "P0", F.lit("2023-01-01")).otherwise(F.col("range_end")))
+    days = s.withColumn("part", F.when(F.col("part") == 0, F.lit("2022-06-01")).when(F.col("part") == 1, F.lit("2024-06-01")).cast("timestamp_ntz"))
+    late = t.withColumn("part", F.when(F.col("part") == 0, F.lit("2022-06-01")).when(F.col("part") == 1, F.lit("2024-06-01")).cast("timestamp_ntz"))
+    by_time = spark.createDataFrame([("P0", None, "2023-01-01"), ("P1", "2023-01-01", None)], light.schema)
+    own = config.settings_of({"validation": {"chunk_size": 1000, "immutable_before": "2024-01-15"}}, {"s": {"t": {"pk_columns": ["k"], "validation_mode": {"partition_aware": {"partition_key": "part"}}}}})
+    out = Engine(own).validate("s", "t", days, late, partitions=by_time)
+    assert {(r.k, r.partition_name) for r in out.differences.collect()} == {(4, "P1"), (5, None)}
+    got = {r["partition_name"]: (r["strategy"], r["status"], r["hash_status"], r["drilldown_status"], r["checks"]) for r in out.reports()[0]["partition_summary"]["partition_results"]}
+    assert got == {"P0": ("light", "FAILED", "mismatch", "skipped", ""), "P1": ("full", "FAILED", "mismatch", "limited", "drilldown"), None: (None, "FAILED", "mismatch", "limited", "drilldown")}
+
+
 def test_no_chunk_is_an_error(spark):
     none = spark.createDataFrame([], "k long, v string")
     run = report.run_summary(Engine().validate("s", "t", none, none, pk=("k",)).chunks)
