@@ -20,7 +20,7 @@ from tallyframe.operators import profile as Q
 from tallyframe.operators import recommend as R
 from tallyframe.operators.pair import TablePair
 from tallyframe.plans import oracle as O
-from tallyframe.plans.pairs import day, load, table
+from tallyframe.plans.pairs import PAIRS, day, load, table
 from tallyframe.sources.migrate import whole_table_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,7 +434,8 @@ def downcast_candidates(spark, sf):
     return found.select("column_name", "target_type", "can_downcast", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("""select * from (values ('l_quantity', 'NUMERIC(18,2)', 'SMALLINT', 'ALTER TABLE "public"."lineitem" ALTER COLUMN "l_quantity" TYPE SMALLINT USING "l_quantity"::smallint;')) v(column_name, current_type, final_type, ddl)""")
+@query(f"""with {O.sides('lineitem')}, r as ({_number_range(["l_quantity", "l_extendedprice"])}), t as (select *, {_WHOLE} as final_type from r)
+select column_name, 'NUMERIC(18,2)' as current_type, final_type, 'ALTER TABLE "public"."lineitem" ALTER COLUMN "' || column_name || '" TYPE ' || final_type || ' USING "' || column_name || '"::' || lower(final_type) || ';' as ddl from t where final_type <> 'NUMERIC'""")
 def alter_ddl(spark, sf):
     return R.alter_ddl(load(spark, sf, "lineitem"), "public", "lineitem", ["l_quantity", "l_extendedprice", "l_orderkey"])
 
@@ -477,8 +478,12 @@ def number_type_map(spark, sf):
     return spark.createDataFrame([(p, s, d, typemap.number_type(p, s, d)) for p, s, d, _ in _NUMBER_TYPES], "p int, s int, d boolean, t string")
 
 
-@query("""select 'public' as schema_name, 'part' as table_name, 'CREATE TABLE IF NOT EXISTS "public"."part" (' || chr(10) || '    "p_partkey" BIGINT,' || chr(10) || '    "p_name" TEXT,' || chr(10) || '    "p_brand" TEXT,' || chr(10) || '    "p_type" TEXT,' || chr(10) ||
- '    "p_size" BIGINT,' || chr(10) || '    "p_retailprice" NUMERIC(18,4)' || chr(10) || ');' as ddl""")
+#: Types of the table's columns in the target, from those that the other engine reads in the file.
+_KINDS = "case when column_name = 'p_retailprice' then 'NUMERIC(18,4)' when column_name = 'p_partkey' or data_type = 'INTEGER' then 'BIGINT' when data_type = 'BIGINT' then 'NUMERIC(19)' else 'TEXT' end"
+
+
+@query(f"""select 'public' as schema_name, 'part' as table_name, 'CREATE TABLE IF NOT EXISTS "public"."part" (' || chr(10) || string_agg('    "' || column_name || '" ' || {_KINDS}, ',' || chr(10) order by ordinal_position) || chr(10) || ');' as ddl
+from information_schema.columns where table_name = 'part'""")
 def create_table_ddl(spark, sf):
     return D.create_table(D.dictionary(load(spark, sf, "part").source, "public", "part"), ("p_partkey",))
 
@@ -552,12 +557,17 @@ def _events_by_day(spark, sf) -> DataFrame:
     found = K.compare_chunks(dated, SIZE, columns=O.columns("events", False), by=("partition_name",))
     r = _ranges(spark, sf)
     ranges = P.with_strategy(P.matched(P.source_ranges(r), P.target_ranges(r)), IMMUTABLE)
-    return P.summary(found.join(F.broadcast(ranges.select("partition_name", "strategy")), "partition_name"))
+    results = found.join(F.broadcast(ranges.select("partition_name", "strategy")), "partition_name")
+    failed = results.where(~F.col("match") & (F.col("strategy") == P.FULL))
+    chunked = K.with_chunks(TablePair(dated.source, dated.target, p.keys, tuple(O.columns("events", False))), SIZE)
+    return P.summary(results, diff.drill_down(chunked, failed, by=("partition_name",)))
 
 
 _BY_DAY = O.chunk_compare("events", f"cast(floor(event_id / {SIZE}) as bigint)", "'p' || strftime(ts, '%Y%m%d') as partition_name")
-_SUMMARY = f"""select partition_name, case when strptime(partition_name, 'p%Y%m%d') + interval 1 day < timestamp '{IMMUTABLE}' then 'light' else 'full' end as strategy, count(*) as chunks, sum(source_rows)::bigint as rows, bool_and(match) as hash_ok
-from ({_BY_DAY}) group by all"""
+_SUMMARY = f"""select partition_name, case when strptime(partition_name, 'p%Y%m%d') + interval 1 day < timestamp '{IMMUTABLE}' then 'light' else 'full' end as strategy, count(*) as chunks, sum(source_rows)::bigint as rows, bool_and(match) as hash_ok,
+ case when bool_and(match) then 'OK' else 'FAILED' end as status, case when bool_and(match) then 'match' else 'mismatch' end as hash_status,
+ case when bool_and(match) or strategy = 'light' then 'skipped' else 'limited' end as drilldown_status, case when bool_and(match) then 'hash' when strategy = 'light' then '' else 'drilldown' end as checks
+from ({_BY_DAY}) group by partition_name"""
 
 
 @query(_SUMMARY)
@@ -604,7 +614,19 @@ def lob_prefix_canonical(spark, sf):
 # --- copies ------------------------------------------------------------------------------------------------
 
 
-@query()
+def _verified(source: str, target: str) -> str:
+    """What verify says of two selects with the same columns: counts, then rows, then aggregates."""
+    return f"""with s as ({source}), t as ({target}), c as (select (select count(*) from s) as a, (select count(*) from t) as b),
+d as (select count(*) as n from ((select * from s except all select * from t) union all (select * from t except all select * from s)))
+select a as source_rows, b as target_rows, a = b as counts_match, case when a = b then n = 0 end as hashes_match, case when a = b then n = 0 end as aggregates_match from c, d"""
+
+
+def _verification(spark, done) -> DataFrame:
+    kind = "source_rows long, target_rows long, counts_match boolean, hashes_match boolean, aggregates_match boolean"
+    return spark.createDataFrame([(done.source_rows, done.target_rows, done.counts_match, done.hashes_match, done.aggregates_match)], kind)
+
+
+@query(_verified("select * from part", "select * from part"))
 def migrate_roundtrip(spark, sf):
     import uuid
 
@@ -616,6 +638,172 @@ def migrate_roundtrip(spark, sf):
         done = migrate(part, lambda df, mode: df.write.mode(mode).saveAsTable(name), lambda: spark.table(name), ("p_partkey",), truncate=True)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return spark.createDataFrame([(done.source_rows, done.target_rows, done.counts_match, done.hashes_match, done.aggregates_match)], "source_rows long, target_rows long, counts_match boolean, hashes_match boolean, aggregates_match boolean")
+    return _verification(spark, done)
+
+
+@query(_verified(PAIRS["part"].source, PAIRS["part"].target))
+def verify_tables(spark, sf):
+    from tallyframe.sources.migrate import verify
+
+    return _verification(spark, verify(load(spark, sf, "part")))
+
+
+# --- the engine as a whole, and what it must not overlook ---------------------------------------------------
+
+
+@query(f"""with c as ({_FAILED}), a as ({O.aggregate_compare("orders")}), k as (select column_name, bool_and(match) as ok from a group by 1)
+select (select count(*) from c) as total_chunks, (select count(*) from c where match) as matched_chunks, (select count(*) from k) as total_columns, (select count(*) from k where ok) as matched_columns,
+ (select bool_and(match) from c) and (select bool_and(ok) from k) as identical""")
+def engine_validate(spark, sf):
+    from tallyframe.config import settings_of
+    from tallyframe.plans.engine import Engine
+
+    p = load(spark, sf, "orders")
+    out = Engine(settings_of({"validation": {"chunk_size": SIZE}})).validate("s", "orders", p.source, p.target, pk=p.keys)
+    run, found = out.reports()
+    row = (run["total_chunks"], run["matched_chunks"], found["summary"]["total_columns"], found["summary"]["matched_columns"], out.identical)
+    out.release()
+    return spark.createDataFrame([row], "total_chunks long, matched_chunks long, total_columns long, matched_columns long, identical boolean")
+
+
+@query(f"{O.row_diff('orders')} select * from d")
+def engine_full_compare(spark, sf):
+    from tallyframe.plans.engine import Engine
+
+    p = load(spark, sf, "orders")
+    return Engine().full_compare("s", "orders", p.source, p.target, p.keys)
+
+
+_NO_KEY = "with x as (select case when c_custkey % 97 = 5 then null else c_custkey end as k, c_name as v from customer)"
+
+
+@query(f"""{_NO_KEY}, h as (select cast(floor(k / {SIZE}) as bigint) as chunk_id, sha256(coalesce(case when trim(v) = '' then '<EMPTY>' else trim(v) end, '<NULL>')) as h from x),
+g as (select chunk_id, count(*) as n, sha256(string_agg(h, '' order by h)) as d from h group by 1)
+select chunk_id, n as source_rows, n as target_rows, d as source_hash, d as target_hash, true as match from g""")
+def chunk_hash_null_key(spark, sf):
+    """Chunks of a table and itself, with rows whose key is null: they are one chunk, and it matches."""
+    x = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 97 != 5, F.col("c_custkey")).alias("k"), F.col("c_name").alias("v"))
+    return K.compare_chunks(TablePair(x, x, ("k",)), SIZE)
+
+
+_WIDE = "cast(o_orderkey as decimal(38,10)) * 1000000000000000"
+
+
+@query(f"""with x as (select cast({_WIDE} as decimal(38,10)) as w from orders)
+select 'w' as column_name, unnest(['count', 'min', 'max', 'distinct_count', 'sum']) as metric, unnest([cast(count(*) as varchar), cast(min(w) as varchar), cast(max(w) as varchar), cast(count(distinct w) as varchar), cast(sum(w) as varchar)]) as value from x""")
+def agg_wide_decimal(spark, sf):
+    """Sums of numbers of 30 digits."""
+    w = F.col("o_orderkey").cast("decimal(20,0)") * F.lit("1000000000000000").cast("decimal(16,0)")
+    x = table(spark, sf, "orders").select(w.cast("decimal(38,10)").alias("w"))
+    return A.long_form(A.column_aggregates(x, ["w"])).where("metric <> 'avg'")
+
+
+@query("""with s as (select event_id, case when event_id % 500 = 3 then 'NaN'::double else cast(cast(value as decimal(18,2)) as double) end as v from events), t as (select event_id, cast(cast(value as decimal(18,2)) as double) as v from events),
+m as (select 'max' as metric, (select cast(max(v) as varchar) from s) as a, (select cast(cast(max(v) as decimal(38,6)) as varchar) from t) as b union all select 'sum', 'NaN', (select cast(sum(cast(v as decimal(38,6))) as varchar) from t)
+ union all select 'min', (select cast(cast(min(v) as decimal(38,6)) as varchar) from s), (select cast(cast(min(v) as decimal(38,6)) as varchar) from t) union all select 'count', (select cast(count(*) as varchar) from s), (select cast(count(*) as varchar) from t)
+ union all select 'distinct_count', (select cast(count(distinct v) as varchar) from s), (select cast(count(distinct v) as varchar) from t))
+select 'v' as column_name, metric, case when a = 'nan' then 'NaN' else a end as source_value, b as target_value, case when a = 'nan' then 'NaN' else a end is not distinct from b as match from m""")
+def agg_nan(spark, sf):
+    t = table(spark, sf, "events").select("event_id", F.col("value").cast("decimal(18,2)").cast("double").alias("v"))
+    s = t.withColumn("v", F.when(F.col("event_id") % 500 == 3, F.lit(float("nan"))).otherwise(F.col("v")))
+    return A.compare_aggregates(TablePair(s, t), ["v"]).where("metric <> 'avg'")
+
+
+@query("""select column_name, 'missing_in_target' as reason from information_schema.columns where table_name = 'part' and column_name in ('p_size', 'p_type')
+union all select column_name || '_new', 'extra_in_target' from information_schema.columns where table_name = 'part' and column_name = 'p_brand'""")
+def schema_mismatch(spark, sf):
+    part = table(spark, sf, "part")
+    return TablePair(part, part.drop("p_size", "p_type").withColumn("p_brand_new", F.lit(1)), ("p_partkey",)).schema_diff().select("column_name", "reason")
+
+
+@query("""with k as (select l_orderkey, count(*) as n from lineitem group by 1), t as (select l_orderkey, count(*) as n from lineitem where l_linenumber <> 2 group by 1)
+select 'source' as side, 0::bigint as null_key_rows, count(*) filter (where n > 1) as repeated_keys, coalesce(sum(n) filter (where n > 1), 0)::bigint as rows_of_repeated_keys from k
+union all select 'target', 0, count(*) filter (where n > 1), coalesce(sum(n) filter (where n > 1), 0)::bigint from t""")
+def duplicate_key_check(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    return K.key_problems(TablePair(lines, lines.where("l_linenumber <> 2"), ("l_orderkey",)))
+
+
+@query("""with s as (select l_orderkey, l_quantity, l_returnflag from lineitem), t as (select l_orderkey, l_quantity, case when l_orderkey % 501 = 7 then 'X' else l_returnflag end as l_returnflag from lineitem where l_orderkey % 503 <> 11),
+n as (select l_orderkey from s group by 1 having count(*) > 1), m as (select *, 'missing_in_target' as reason from (select * from s except all select * from t) union all select *, 'extra_in_target' from (select * from t except all select * from s))
+select l_orderkey, null as column_name, reason from m where l_orderkey in (select l_orderkey from n)
+union all select s.l_orderkey, 'l_returnflag', 'value_mismatch' from s join t using (l_orderkey) where l_orderkey not in (select l_orderkey from n) and s.l_returnflag <> t.l_returnflag
+union all select l_orderkey, null, 'missing_in_target' from s where l_orderkey not in (select l_orderkey from n) and l_orderkey not in (select l_orderkey from t)""")
+def row_diff_repeated_keys(spark, sf):
+    """Rows by a key that most orders repeat: multisets where it does, columns where it does not."""
+    s = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    t = s.where("l_orderkey % 503 <> 11").withColumn("l_returnflag", F.when(F.col("l_orderkey") % 501 == 7, F.lit("X")).otherwise(F.col("l_returnflag")))
+    return diff.keyed_diff(TablePair(s, t, ("l_orderkey",))).select("l_orderkey", "column_name", "reason")
+
+
+_DAY_OF = "strftime(coalesce(src.ts, tgt.ts), '%Y%m%d')"
+
+
+@query(f"""with {O.sides('events')}, b as ({_BY_DAY}), f as (select distinct partition_name, chunk_id from b where not match and strptime(partition_name, 'p%Y%m%d') + interval 1 day >= timestamp '{IMMUTABLE}'),
+k as (select event_id, 'p' || strftime(ts, '%Y%m%d') as partition_name, cast(floor(event_id / {SIZE}) as bigint) as chunk_id from src union select event_id, 'p' || strftime(ts, '%Y%m%d'), cast(floor(event_id / {SIZE}) as bigint) from tgt),
+x as (select src.event_id, src.ts as a, tgt.ts as b, src.value as v, tgt.value as w, tgt.event_id as there from src left join tgt using (event_id)),
+d as (select event_id, 'ts' as column_name, 'value_mismatch' as reason from x where there is not null and a <> b union all select event_id, 'value', 'decimal_tolerance_exceeded' from x where there is not null and abs(v - w) > 0.0001
+ union all select event_id, null, 'missing_in_target' from x where there is null)
+select partition_name, chunk_id, event_id, column_name, reason from d join k using (event_id) join f using (partition_name, chunk_id)""")
+def partition_light_drilldown(spark, sf):
+    """Differences in failed chunks of full partitions; none of a light one, though it has chunks of the same numbers."""
+    p = load(spark, sf, "events")
+    dated = TablePair(P.daily(p.source, "ts"), P.daily(p.target, "ts"), p.keys, tuple(O.columns("events", False)))
+    r = _ranges(spark, sf)
+    ranges = P.with_strategy(P.matched(P.source_ranges(r), P.target_ranges(r)), IMMUTABLE)
+    chunked = K.with_chunks(dated, SIZE)
+    found = K.compare_chunks(dated, SIZE, columns=O.columns("events", False), by=("partition_name",))
+    failed = found.where("not match").join(F.broadcast(ranges.where(F.col("strategy") == P.FULL).select("partition_name")), "partition_name", "left_semi")
+    return diff.drill_down(chunked, failed, sample=10**9, most=10**9, by=("partition_name",)).select("partition_name", "chunk_id", "event_id", "column_name", "reason")
+
+
+@query("""with b as (select max(o_orderkey) as m from orders), p as (select i, 'n' || i as partition_name, case when i > 0 then i * (m // 7) end as lo, case when i < 7 then (i + 1) * (m // 7) end as hi from b, range(0, 8) r(i))
+select partition_name, count(*) as rows from orders join p on (lo is null or o_orderkey >= lo) and (hi is null or o_orderkey < hi) group by 1""")
+def partition_assign_numeric(spark, sf):
+    orders = table(spark, sf, "orders")
+    width = orders.agg(F.floor(F.max("o_orderkey") / 7).alias("w"))
+    n = F.col("id")
+    bound = lambda x: (x * F.col("w")).cast("string")
+    ranges = spark.range(8).join(F.broadcast(width)).select(F.concat(F.lit("n"), n).alias("partition_name"), F.when(n > 0, bound(n)).alias("range_start"), F.when(n < 7, bound(n + 1)).alias("range_end"))
+    return P.assigned(orders.select("o_orderkey"), "o_orderkey", ranges).groupBy("partition_name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select case when l_returnflag in ('A', 'R') then 'back' when l_returnflag = 'N' then 'kept' end as partition_name, count(*) as rows from lineitem group by 1")
+def partition_assign_list(spark, sf):
+    bounds = spark.createDataFrame([("back", "FOR VALUES IN ('A', 'R')"), ("kept", "FOR VALUES IN ('N')")], "partition_name string, partition_bound string")
+    ranges = P.target_ranges(bounds).join(bounds.select("partition_name", P.listed(F.col("partition_bound")).alias("values")), "partition_name")
+    return P.assigned(table(spark, sf, "lineitem").select("l_returnflag"), "l_returnflag", ranges).groupBy("partition_name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select event_id, ts from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-06'")
+def partition_scan(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "ts")
+    return P.scan(events, "ts", P.target_ranges(_ranges(spark, sf)), "p20240105")
+
+
+@query(f"""with s as (select p_partkey, cast(p_size as decimal(18,0)) as p_size from part), r as (select min(p_size) as lo, max(p_size) as hi from s),
+t as (select case when lo between -32768 and 32767 and hi between -32768 and 32767 then 'SMALLINT' else 'INTEGER' end as target_type from r)
+select 'p_size' as column_name, 'NUMERIC(18,0)' as current_type, target_type, true as can_downcast, 0::bigint as out_of_range_rows, 0::bigint as dry_run_loss_count, 'no_fraction_values,within_bigint_range,hash_match,sum_match' as reasons,
+ 'ALTER TABLE "public"."part" ALTER COLUMN "p_size" TYPE ' || target_type || ' USING "p_size"::' || lower(target_type) || ';' as ddl from t""")
+def downcast_accepted(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("decimal(18,0)").alias("p_size"))
+    p = TablePair(part, part, ("p_partkey",))
+    found = R.candidates(p, "public", "part", K.compare_chunks(p, SIZE), ["p_size"], R.Keys(pk=("p_partkey",)))
+    return found.select("column_name", "current_type", "target_type", "can_downcast", "out_of_range_rows", "dry_run_loss_count", F.array_join("reasons", ",").alias("reasons"), "ddl")
+
+
+@query("select column_name, ordinal_position::int as column_id from information_schema.columns where table_name = 'events'")
+def catalog_columns(spark, sf):
+    return D.dictionary(table(spark, sf, "events"), "public", "events").select("column_name", "column_id")
+
 
+@query("""with l as (select l_returnflag as table_name, l_linestatus as column_name, l_linenumber as position, count(*) as n from lineitem group by all), p as (select distinct table_name, column_name, min(position) over (partition by table_name, column_name) as position from l)
+select lower(table_name) as table_name, string_agg(lower(column_name), ',' order by position, column_name) as columns from p group by 1""")
+def key_registry(spark, sf):
+    """Keys from dictionary rows, in the order of their positions and without repeats."""
+    from tallyframe.sources.catalog import KeyRegistry
 
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("table_name"), F.lit("P").alias("constraint_type"), F.lit("pk").alias("constraint_name"), F.col("l_linestatus").alias("column_name"), F.col("l_linenumber").alias("position")).distinct()
+    rows = rows.groupBy("table_name", "constraint_type", "constraint_name", "column_name").agg(F.min("position").alias("position"))
+    found = KeyRegistry.from_constraints(rows.withColumn("position", F.col("position") * 100 + F.ascii("column_name")))
+    return spark.createDataFrame([(t, ",".join(found.pk(t))) for t in found.primary], "table_name string, columns string")
