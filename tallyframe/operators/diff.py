@@ -114,11 +114,12 @@ def keyed_diff(pair: TablePair, tolerance: str = "0.0001", by_column: dict[str,
     return once.unionByName(copies.withColumns(none).select(*once.columns))
 
 
-def drill_down(pair: TablePair, failed: DataFrame, tolerance: str = "0.0001", sample: int = 10, most: int = 10, by_column: dict[str, str] | None = None, policy: str = "distinct", by: tuple[str, ...] = ()) -> DataFrame:
+def drill_down(pair: TablePair, failed: DataFrame, tolerance: str = "0.0001", sample: int = 10, most: int = 10, by_column: dict[str, str] | None = None, policy: str = "distinct", by: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
     """Differences within failed chunks (by..., chunk_id): of each the first sample keys of both sides, and of those at most most differences.
 
     by..., chunk_id, key..., column_name, source_value, target_value, difference, reason, early_exit (the chunk reached most).
-    pair has the columns of by and chunk_id on both sides; a null in them is a chunk like any other. A key that repeats is compared as a multiset of its rows.
+    pair has the columns of by and chunk_id on both sides; a null in them is a chunk like any other. A key that repeats is compared as a multiset of its rows, unless
+    keys are known to be unique.
     """
     names = [*by, "chunk_id"]
     chunks = failed.select(*names).distinct()
@@ -129,7 +130,7 @@ def drill_down(pair: TablePair, failed: DataFrame, tolerance: str = "0.0001", sa
     wanted = source.select(*keys).unionByName(target.select(*keys)).distinct().withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= sample).drop("__k")
     source, target = (d.join(wanted, equal(d, wanted, keys), "left_semi") for d in (source, target))
     columns = tuple(c for c in pair.values if c not in names)
-    found = keyed_diff(TablePair(source, target, tuple(keys), columns), tolerance, by_column, policy)
+    found = (row_diff if unique else keyed_diff)(TablePair(source, target, tuple(keys), columns), tolerance, by_column, policy)
     order = Window.partitionBy(*names).orderBy(*pair.keys, "column_name")
     found = found.withColumn("__k", F.row_number().over(order)).withColumn("early_exit", F.count(F.lit(1)).over(Window.partitionBy(*names)) >= most)
     return found.where(F.col("__k") <= most).drop("__k")

@@ -158,15 +158,16 @@ def scan(df: DataFrame, key: str, ranges: DataFrame, name: str) -> DataFrame:
     return out if r.range_end is None else out.where(F.col(key) < value(r.range_end))
 
 
-def summary(results: DataFrame, drilled: DataFrame | None = None) -> DataFrame:
+def drilled() -> Column:
+    """Whether a drill-down looks into a chunk: it failed, and not in a light partition."""
+    return ~F.col("match") & (F.coalesce("strategy", F.lit(FULL)) != LIGHT)
+
+
+def summary(results: DataFrame, looked: Column | None = None) -> DataFrame:
     """partition_name, strategy, chunks, rows, hash_ok, status, hash_status, drilldown_status, checks from chunk results with partition_name, strategy,
-    source_rows, match. drilled are the differences that a drill-down found, with partition_name: without them no partition was drilled down into."""
-    out = results.groupBy("partition_name", "strategy").agg(F.count(F.lit(1)).alias("chunks"), F.sum("source_rows").alias("rows"), F.bool_and("match").alias("hash_ok"))
-    if drilled is not None:
-        looked = drilled.select(F.col("partition_name").alias("__name")).distinct().withColumn("__looked", F.lit(True))
-        out = out.join(looked, F.col("partition_name").eqNullSafe(F.col("__name")), "left").drop("__name")
-    else:
-        out = out.withColumn("__looked", F.lit(None).cast("boolean"))
+    source_rows, match. looked is a condition on them, as drilled, that holds where a drill-down looked."""
+    flag = F.lit(False) if looked is None else F.bool_or(looked)
+    out = results.groupBy("partition_name", "strategy").agg(F.count(F.lit(1)).alias("chunks"), F.sum("source_rows").alias("rows"), F.bool_and("match").alias("hash_ok"), flag.alias("__looked"))
     looked = F.coalesce("__looked", F.lit(False))
     named = lambda yes, a, b: F.when(yes, F.lit(a)).otherwise(F.lit(b))
     checks = F.array_join(F.array_compact(F.array(F.when(F.col("hash_ok"), F.lit("hash")), F.when(looked, F.lit("drilldown")))), ",")

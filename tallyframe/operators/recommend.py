@@ -81,13 +81,13 @@ def _typed(pair: TablePair, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "column_name string, current_type string, metadata_type string, source_type string, source_scale int")
 
 
-def recommend(pair: TablePair, columns: list[str] | None = None, keys: Keys = Keys(), strict_days: bool = True, narrower: bool = False) -> DataFrame:
-    """column_name, current_type, metadata_type, recommended_type, final_type, with both sides' statistics.
+def recommend(pair: TablePair, columns: list[str] | None = None, keys: Keys = Keys(), strict_days: bool = True, narrower: bool = False, distinct: bool = False) -> DataFrame:
+    """column_name, current_type, metadata_type, recommended_type, final_type, with both sides' statistics (counts of distinct values only if asked for).
 
     final_type is that of the data, or the dictionary's where the data says no more than NUMERIC; a key is at least a BIGINT.
     """
     columns = columns or [*pair.keys, *pair.values]
-    found = recommended_type(both_sides(P.profile_pair(pair, columns, strict_days=strict_days, narrower=narrower)))
+    found = recommended_type(both_sides(P.profile_pair(pair, columns, strict_days=strict_days, narrower=narrower, distinct=distinct)))
     found = found.join(F.broadcast(_typed(pair, columns)), "column_name")
     final = F.when(F.col("recommended_type") != "NUMERIC", F.col("recommended_type")).otherwise(F.col("metadata_type"))
     held = F.lower("column_name").isin(keys.held) if keys.held else F.lit(False)
@@ -165,7 +165,7 @@ def candidates(pair: TablePair, schema: str, table: str, chunks: DataFrame | Non
 
 def changeable(pair: TablePair, columns: list[str] | None = None, keys: Keys = Keys()) -> DataFrame:
     """Columns whose data or dictionary says more than NUMERIC: column_name, current_type, recommended_type, source_type, in_index, null_ratio, distinct_ratio, hint, time_profile, fractions (rows of both sides with one)."""
-    d = recommend(pair, columns, keys).where((F.col("recommended_type") != "NUMERIC") | (F.col("metadata_type") != "NUMERIC"))
+    d = recommend(pair, columns, keys, distinct=True).where((F.col("recommended_type") != "NUMERIC") | (F.col("metadata_type") != "NUMERIC"))
     rows = F.greatest("s_row_count", F.lit(1))
     nulls, distinct = F.col("s_null_count") / rows, F.col("s_distinct_count") / rows
     indexed = F.lower("column_name").isin([c.lower() for c in keys.indexed]) if keys.indexed else F.lit(False)

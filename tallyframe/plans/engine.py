@@ -49,7 +49,7 @@ class Outcome:
         return self
 
     def release(self) -> None:
-        for d in (self.chunks, self.differences, self.aggregates, self.partitions):
+        for d in (self.chunks, self.differences, self.aggregates, self.partitions, self.keys):
             if d is not None:
                 d.unpersist()
 
@@ -126,7 +126,8 @@ class Engine:
 
             chunks = whole_table_digests(compared_pair).withColumn("chunk_id", F.lit(0).cast("long"))
         else:
-            keys = K.key_problems(compared_pair) if v.check_keys else None
+            keys = K.key_problems(compared_pair).persist() if v.check_keys else None
+            unique = keys is not None and not keys.where("repeated_keys > 0").count()  # two rows
             chunked = K.with_chunks(compared_pair, size, how)
             groups = [*by, "chunk_id"]
             digests = (K.digests(d, values, groups, v.null_empty_policy, tuple(x.lower() for x in lobs), v.strict_rows, v.lob_prefix) for d in (chunked.source, chunked.target))
@@ -135,13 +136,12 @@ class Engine:
             if ranges is not None:
                 light = ranges.where(F.col("strategy") == P.LIGHT).select(F.lower("partition_name").alias("__light"))
                 failed = failed.join(light, F.lower("partition_name") == F.col("__light"), "left_anti")
-            differences = diff.drill_down(chunked, failed, v.decimal_tolerance, v.sample_size, v.max_diffs_per_chunk, v.tolerance_by_column, v.null_empty_policy, by)
+            differences = diff.drill_down(chunked, failed, v.decimal_tolerance, v.sample_size, v.max_diffs_per_chunk, v.tolerance_by_column, v.null_empty_policy, by, unique)
         summary = None
         if ranges is not None:
             if "partition_name" not in chunks.columns:
                 raise ValueError(f"{schema}.{table} has no key, so it can't be validated by partition")
-            differences = differences.persist()
-            summary = P.summary(chunks.join(F.broadcast(ranges.select("partition_name", "strategy")) if ranges.count() <= P.BROADCAST else ranges.select("partition_name", "strategy"), "partition_name", "left"), differences)
+            summary = P.summary(chunks.join(F.broadcast(ranges.select("partition_name", "strategy")) if ranges.count() <= P.BROADCAST else ranges.select("partition_name", "strategy"), "partition_name", "left"), P.drilled())
         compared = A.compare_aggregates(compared_pair, [*pair.keys, *plain], by, v.float_scale, v.tolerance_by_column)
         out = Outcome(schema, table, pair, chunks, differences, compared, missing, keys, summary)
         if lobs:

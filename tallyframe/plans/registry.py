@@ -298,7 +298,7 @@ def row_diff_sample_topn(spark, sf):
     p = load(spark, sf, "orders")
     chunked = K.with_chunks(p, SIZE)
     failed = K.compare_chunks(p, SIZE).where("not match")
-    return diff.drill_down(chunked, failed, sample=10)
+    return diff.drill_down(chunked, failed, sample=10, unique=True)
 
 
 @query(f"""{_CHUNKED}, r as (select *, row_number() over (partition by chunk_id order by o_orderkey, column_name nulls first) as k, count(*) over (partition by chunk_id) >= 2 as early_exit from c)
@@ -306,7 +306,7 @@ select chunk_id, o_orderkey, column_name, source_value, target_value, difference
 def row_diff_early_exit(spark, sf):
     p = load(spark, sf, "orders")
     chunked = K.with_chunks(p, SIZE)
-    return diff.drill_down(chunked, K.compare_chunks(p, SIZE).where("not match"), sample=10**9, most=2)
+    return diff.drill_down(chunked, K.compare_chunks(p, SIZE).where("not match"), sample=10**9, most=2, unique=True)
 
 
 @query(f"""with f as (select chunk_id from ({_FAILED}) where not match), {O.sides('orders')}, n as (select {_BY_KEY} as chunk_id, count(*) as source_rows from src group by 1)
@@ -558,9 +558,7 @@ def _events_by_day(spark, sf) -> DataFrame:
     r = _ranges(spark, sf)
     ranges = P.with_strategy(P.matched(P.source_ranges(r), P.target_ranges(r)), IMMUTABLE)
     results = found.join(F.broadcast(ranges.select("partition_name", "strategy")), "partition_name")
-    failed = results.where(~F.col("match") & (F.col("strategy") == P.FULL))
-    chunked = K.with_chunks(TablePair(dated.source, dated.target, p.keys, tuple(O.columns("events", False))), SIZE)
-    return P.summary(results, diff.drill_down(chunked, failed, by=("partition_name",)))
+    return P.summary(results, P.drilled())
 
 
 _BY_DAY = O.chunk_compare("events", f"cast(floor(event_id / {SIZE}) as bigint)", "'p' || strftime(ts, '%Y%m%d') as partition_name")
