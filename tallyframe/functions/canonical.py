@@ -65,6 +65,11 @@ def canonical(field: T.StructField, c: Column, policy: str = "distinct", lob: bo
     return with_policy(value_text(field.dataType, c, lob, prefix), policy)
 
 
+def fixed_width(c: Column, width: int, fill: str = " ") -> Column:
+    """A canonical text at a fixed width, filled at the end and cut if it is longer."""
+    return F.rpad(c, width, fill)
+
+
 def row_text(schema: T.StructType, columns: list[str], policy: str = "distinct", lobs=(), strict: bool = False, prefix: int = LOB_PREFIX) -> Column:
     """Canonical texts of the columns in a row; strict puts each text's length before it, so no two rows share a text."""
     by_name = {f.name.lower(): f for f in schema.fields}

@@ -132,6 +132,12 @@ def canonical_number_unscaled(spark, sf):
     return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.canonical(s.schema["l_extendedprice"], F.col("l_extendedprice")).alias("price_text"))
 
 
+@query("select p_partkey, rpad(trim(p_name), 24, '.') as name_text from part")
+def canonical_fixed_width(spark, sf):
+    s = table(spark, sf, "part")
+    return s.select("p_partkey", C.fixed_width(C.canonical(s.schema["p_name"], F.col("p_name")), 24, ".").alias("name_text"))
+
+
 @query(f"with {O.sides('part')} select {', '.join(f'{O.text(c)} as {c}' for c in O.columns('part'))} from src")
 def canonical_columns_part(spark, sf):
     s = load(spark, sf, "part").source

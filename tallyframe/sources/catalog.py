@@ -48,6 +48,12 @@ def tables(spark: SparkSession, schema: str) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables(schema) if not t.isTemporary)
 
 
+def tables_like(spark: SparkSession, schema: str, pattern: str) -> list[str]:
+    """Tables whose name a LIKE pattern fits, without regard to case."""
+    names = spark.createDataFrame([(t,) for t in tables(spark, schema)], "name string")
+    return sorted(r.name for r in names.where(F.lower("name").like(pattern.lower())).collect())
+
+
 def columns(df: DataFrame) -> list[str]:
     return [c.lower() for c in df.columns]
 
@@ -86,14 +92,23 @@ def table_bytes(spark: SparkSession, name: str) -> int | None:
     return None
 
 
+def table_key(spark: SparkSession, name: str) -> tuple[str, ...]:
+    """The key that a catalog table's properties name, as create_spark_table writes it."""
+    found = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}.get("primary_key", "")
+    return tuple(c for c in found.split(",") if c)
+
+
 def duplicate_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """key..., n of keys that more rows than one have."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def matching_tables(spark: SparkSession, source: str, target: str, only: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
-    """Tables of the source schema that the target has too, and those that it lacks."""
-    wanted = {t.lower() for t in only}
-    mine = [t for t in tables(spark, source) if not wanted or t.lower() in wanted]
-    theirs = {t.lower() for t in tables(spark, target)}
+def matching(source: list[str], target: list[str], only: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """Tables of the source (or those of only) that the target has too, and those that it lacks; without regard to case."""
+    wanted, theirs = {t.lower() for t in only}, {t.lower() for t in target}
+    mine = [t for t in source if not wanted or t.lower() in wanted]
     return [t for t in mine if t.lower() in theirs], [t for t in mine if t.lower() not in theirs]
+
+
+def matching_tables(spark: SparkSession, source: str, target: str, only: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    return matching(tables(spark, source), tables(spark, target), only)

@@ -3,15 +3,16 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from tallyframe import cli, config
-from tallyframe.operators import lob
+from tallyframe.operators import ddl, lob
 from tallyframe.operators.pair import TablePair
 from tallyframe.plans import report
 from tallyframe.plans.engine import Engine, with_fallback
 from tallyframe.plans.pairs import load
-from tallyframe.sources import catalog, migrate, tables
+from tallyframe.sources import catalog, dictionary, migrate, tables
 from tallyframe.streaming import closed_partitions
 
 DERBY = config.Connection(url="jdbc:derby:memory:tally;create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
@@ -188,6 +189,7 @@ def test_catalog(spark):
     assert catalog.matching_tables(spark, "one", "two") == (["a"], ["b"])
     assert catalog.is_partitioned(spark, "one.a") and not catalog.is_partitioned(spark, "one.b") and catalog.table_bytes(spark, "one.b") > 0
     assert cli.main(["schema", "one", "two"], spark) == 0
+    assert catalog.tables_like(spark, "one", "%A%") == ["a"] and catalog.tables_like(spark, "one", "_") == ["a", "b"]
     assert catalog.duplicate_keys(spark.table("one.a"), ("p",)).first().n == 3
     for d in ("one", "two"):
         spark.sql(f"DROP DATABASE {d} CASCADE")
@@ -204,6 +206,59 @@ def test_cli(spark, sf_dir, tmp_path, capsys):
     assert "VERDICT: identical" in said and 'CREATE TABLE IF NOT EXISTS "s"."part"' in said and "match" in said
 
 
+def test_tables_keys_and_statements_over_jdbc(spark, tmp_path, capsys):
+    run = [
+        'CREATE SCHEMA "shop"', 'CREATE TABLE "shop"."parent" ("id" VARCHAR(10) NOT NULL PRIMARY KEY, "n" NUMERIC(9,0))',
+        'CREATE TABLE "shop"."child" ("a" INTEGER NOT NULL, "b" VARCHAR(10) NOT NULL, "v" NUMERIC(8,2), PRIMARY KEY ("b", "a"), FOREIGN KEY ("b") REFERENCES "shop"."parent" ("id"))',
+        *[f"INSERT INTO \"shop\".\"parent\" VALUES ('k{k}', {k})" for k in range(9)], *[f"INSERT INTO \"shop\".\"child\" VALUES ({k % 7}, 'k{k % 9}', {k}.25)" for k in range(50)],
+    ]
+    assert dictionary.execute(spark, DERBY, run) == len(run)
+    with pytest.raises(Py4JJavaError):
+        dictionary.execute(spark, DERBY, ["INSERT INTO \"shop\".\"parent\" VALUES ('gone', 1)", "INSERT INTO nowhere VALUES (1)"])
+    assert dictionary.tables(spark, DERBY, "SHOP") == ["child", "parent"] and dictionary.exists(spark, DERBY, "shop", "CHILD") and not dictionary.exists(spark, DERBY, "none", "child")
+    found = dictionary.keys(spark, DERBY, "shop")
+    assert found.pk("child") == ("b", "a") and found.fk("child") == ("b",) and set(found.indexed("child")) == {"a", "b"}
+    rows = {r.column_name: r for r in dictionary.columns(spark, DERBY, "shop", "child").collect()}
+    assert (rows["v"].data_type, rows["v"].data_precision, rows["v"].data_scale, rows["v"].nullable, rows["a"].nullable) == ("NUMBER", 8, 2, "Y", "N")
+    # keys of text and of several columns cut the table into parts that hold each row once
+    child = tables.read_jdbc(spark, DERBY, '"shop"."child"', key=("b", "a"), partitions=4)
+    assert child.rdd.getNumPartitions() == 4 and child.count() == 50 and child.distinct().count() == 50
+    parent = tables.read_jdbc(spark, DERBY, '"shop"."parent"', key="id", partitions=3)
+    assert parent.rdd.getNumPartitions() == 3 and sorted(r.n for r in parent.collect()) == list(range(9))  # the failed transaction left nothing
+    side = f"{{url: '{DERBY.url}', driver: '{DERBY.driver}'}}"
+    (tmp_path / "c.yaml").write_text(f"source: {side}\ntarget: {side}\nmigration: {{batch_size: 7, target_schema: copy}}\n")
+    at = ["--config", str(tmp_path / "c.yaml")]
+    assert cli.main([*at, "tables", "jdbc:shop"], spark) == 0
+    number = "(SELECT \"a\", \"b\", \"v\" FROM \"shop\".\"child\") x"
+    frame = tables.read_jdbc(spark, DERBY, number).select("a", "v")
+    made = dictionary.create(spark, DERBY, ddl.dictionary(frame, "copy", "child"), "copy", "child", ("a",))
+    assert made[0] == 'CREATE SCHEMA "copy"' and len(made) == 3 and dictionary.create(spark, DERBY, ddl.dictionary(frame, "copy", "child"), "copy", "child") == []
+    assert dictionary.keys(spark, DERBY, "copy").pk("child") == ("a",)
+    assert len(dictionary.create(spark, DERBY, ddl.dictionary(frame, "copy", "child"), "copy", "child", (), drop=True)) == 2
+    assert cli.main([*at, "schema", "jdbc:shop", "jdbc:shop"], spark) == 0
+    assert cli.main([*at, "schema", "jdbc:shop", "jdbc:copy"], spark) == 1
+    assert cli.main([*at, "verify", 'jdbc:"shop"."child"', 'jdbc:"shop"."child"'], spark) == 0
+    assert cli.main([*at, "types", 'jdbc:"shop"."child"', "jdbc:nowhere.child", "--table", "copy.child"], spark) == 0
+    (tmp_path / "s.sql").write_text("BEGIN;\n-- a; comment\nCREATE TABLE \"copy\".\"t\" (\"x\" VARCHAR(9));\nINSERT INTO \"copy\".\"t\" VALUES ('a;b');\nCOMMIT;\n-- ROLLBACK;\n")
+    assert cli.main([*at, "apply", str(tmp_path / "s.sql")], spark) == 0
+    assert tables.read_jdbc(spark, DERBY, '"copy"."t"').first().x == "a;b"
+    said = capsys.readouterr().out
+    assert "child: identical" in said and "parent: not in jdbc:copy" in said and "a: INTEGER" not in said and "v: NUMBER(8,2) -> NUMERIC(8,2)" in said and "2 statements ran" in said
+
+
+def test_verify_and_create_by_the_command_line(spark, sf_dir, tmp_path):
+    part = f"parquet:{sf_dir}/part.parquet"
+    assert cli.main(["verify", part, part, "--pk", "p_partkey"], spark) == 0
+    spark.read.parquet(f"{sf_dir}/part.parquet").drop("p_size").write.parquet(str(tmp_path / "less"))
+    assert cli.main(["verify", part, f"parquet:{tmp_path}/less", "--pk", "p_partkey"], spark) == 1
+    assert cli.main(["validate", part, f"parquet:{tmp_path}/less", "--pk", "p_partkey", "--reports", str(tmp_path / "r"), "--frames", str(tmp_path / "f")], spark) == 1
+    assert any("aggregates" in x.name for x in (tmp_path / "f").iterdir())
+    assert cli.main(["ddl", part, "--table", "s.part", "--pk", "p_partkey", "--create", "made.part", "--drop"], spark) == 0
+    assert catalog.table_key(spark, "made.part") == ("p_partkey",)
+    assert cli.main(["validate", part, "made.nothing", "--table", "s.part"], spark) == 1
+    spark.sql("DROP DATABASE made CASCADE")
+
+
 def test_lob_sample_does_not_see_the_middle(spark):
     a = spark.createDataFrame([("x" * 3000,), ("short",), (None,), ("",)], "t string")
     inside = a.withColumn("t", F.when(F.length("t") > 100, F.concat(F.substring("t", 1, 1500), F.lit("#"), F.substring("t", 1502, 3000))).otherwise(F.col("t")))
