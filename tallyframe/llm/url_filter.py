@@ -1,9 +1,9 @@
 """URL rules by expansion, short hash prefixes and full digests.
 
 A rule is a host and a path prefix; it fits its host and all subdomains where the path starts with
-the rule's. Each URL expands into expressions: every suffix of its host at a dot, with every prefix of its path as long
-as some rule's path (the set of lengths is read from the rules, at most MAX_LENGTHS of them; with more, paths are
-cut at every length up to the longest). The first 4 bytes of an expression's SHA-256 meet those of the rules in an
+the rule's. Each URL expands into expressions: every suffix of its host at a dot that has as many labels as some rule's host, with every prefix of its path as
+long as some rule's path (both sets of numbers are read from the rules, at most MAX_LENGTHS of them; with more, hosts and paths are
+cut at every number up to the largest), so a URL of any length has no more expressions than the rules call for. The first 4 bytes of an expression's SHA-256 meet those of the rules in an
 equi-join; the full digest then confirms, and the longest rule wins (equal length: the longer path, then block).
 
 Rules up to BROADCAST_RULES rows (counted first) are broadcast and no page moves. More of them are
@@ -65,21 +65,27 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rules = rules.dropDuplicates().withColumn("r_full", _digest(F.col("r_host"), F.col("r_path"))).withColumn("r_short", F.substring("r_full", 1, 2 * PREFIX_BYTES))
     rules = cut(rules)
     n_rules = rules.count()
-    lengths = rules.select(F.length("r_path").alias("n")).distinct().orderBy("n").limit(MAX_LENGTHS + 1)
-    lengths = [r.n for r in lengths.collect()]  # at most MAX_LENGTHS + 1 numbers
-    if len(lengths) > MAX_LENGTHS:
-        lengths = None
+
+    def numbers(c):
+        """The values of a number of the rules, or if they are many their largest alone."""
+        found = [r.n for r in rules.select(c.alias("n")).distinct().orderBy("n").limit(MAX_LENGTHS + 1).collect()]
+        return (found, None) if len(found) <= MAX_LENGTHS else (None, rules.agg(F.max(c)).first()[0])
+
+    def up_to(known, most, least):
+        """Those numbers that are not above most, as an array; all from least if they are many."""
+        few, largest = known
+        if few is None:
+            return F.filter(F.sequence(F.lit(least), F.greatest(F.least(F.lit(largest), most), F.lit(least))), lambda n: n <= most)
+        return F.filter(F.array(*[F.lit(n) for n in few]).cast("array<int>"), lambda n: n <= most)
+
+    lengths, labels = numbers(F.length("r_path")), numbers(F.size(F.split("r_host", r"\.")))
     urls = cut(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("u")).select(
         "page_id", F.monotonically_increasing_id().alias("row"), host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path")
     ))
     small = n_rules <= broadcast_rules
     dotted = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda i: F.array_join(F.slice(dotted, i, F.size(dotted)), "."))
-    if lengths is None:
-        cuts = F.sequence(F.lit(0), F.length("path"))
-    else:
-        cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
-    heads = F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n))
+    suffixes = F.transform(up_to(labels, F.size(dotted), 1), lambda n: F.array_join(F.slice(dotted, F.size(dotted) - n + 1, n), "."))
+    heads = F.transform(up_to(lengths, F.length("path"), 0), lambda n: F.substring(F.col("path"), F.lit(1), n))
     each = urls.drop("page_id").withColumn("x_host", F.explode(F.array_distinct(suffixes))).withColumn("x_path", F.explode(heads))
     each = each.withColumn("x_full", _digest(F.col("x_host"), F.col("x_path"))).withColumn("x_short", F.substring("x_full", 1, 2 * PREFIX_BYTES))
     if small:

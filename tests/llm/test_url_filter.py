@@ -38,3 +38,12 @@ def test_many_lengths_of_rules(spark):
     rules = [("block", "x.com", "/" + "a" * k) for k in range(U.MAX_LENGTHS + 5)]
     pages = spark.createDataFrame([(1, "http://x.com/" + "a" * 100 + "b")], "page_id long, url string")
     assert U.filter_urls(pages, U.rules_table(spark, rules)).first().rule == "x.com/" + "a" * 100
+
+
+def test_very_long_urls(spark):
+    rules = [*U.RULES, ("block", ".".join(["a"] * 300), "/"), *[("block", ".".join(["b"] * k) + ".net", "/x") for k in range(1, U.MAX_LENGTHS + 9)]]
+    urls = ["http://" + "a." * 60_000 + "example.org/es/" + "p/" * 60_000, "http://" + ".".join(["a"] * 400) + "/y", "http://b.b.b.net/x" + "y" * 100_000, "http://" + "c" * 200_000, "http://x.com/fr/" + "%20" * 50_000]
+    for own in (U.RULES, rules):
+        pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.filter_urls(pages, U.rules_table(spark, own)).collect()}
+        assert got == {k: brute(u, own) for k, u in enumerate(urls)}
