@@ -12,8 +12,10 @@ from tallyframe.functions.canonical import LOB_PREFIX
 from tallyframe.functions.hashing import list_digest, row_hash
 from tallyframe.operators.pair import TablePair, side_by_side
 
-#: An ordered numbering is split into as many ranges as there are shuffle partitions, at least so many, and each is drawn from so many keys.
-RANGES, DRAWN = 64, 16
+#: An ordered numbering is split into twice as many ranges as there are shuffle partitions, at least so many, and each is drawn from so many keys.
+RANGES, DRAWN = 16, 32
+#: Starts of one column up to so many are searched by nested conditions, others in an array.
+TREE = 128
 
 
 def by_width(key: str, size: int) -> Column:
@@ -48,7 +50,7 @@ class Ranges:
     @classmethod
     def of(cls, df: DataFrame, keys: tuple[str, ...], ranges: int | None = None) -> Ranges:
         """From the keys whose hash falls in a class of about ranges * DRAWN; one pass over the key columns, and a key that repeats counts once."""
-        ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        ranges = ranges or max(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         known = df.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys))
         every = max(1, known.count() // (ranges * DRAWN))
         drawn = known.where(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0).distinct().limit(8 * ranges * DRAWN)
@@ -62,10 +64,24 @@ class Ranges:
         if not self.starts:
             return F.lit(0)
         kinds = {k: df.schema[k].dataType for k in self.keys}
-        starts = F.array(*[F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for v, k in zip(s, self.keys, strict=True)]) for s in self.starts])
-        key = F.struct(*self.keys)
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(self.starts).bit_length()))])
-        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(starts, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
+
+        def literal(values):
+            parts = [F.lit(v).cast(kinds[k]).alias(k) for v, k in zip(values, self.keys, strict=True)]
+            return F.struct(*parts) if len(parts) > 1 else parts[0]
+
+        key = F.struct(*self.keys) if len(self.keys) > 1 else F.col(self.keys[0])
+        starts = [literal(s) for s in self.starts]
+        if len(self.keys) == 1 and len(starts) <= TREE:  # nested conditions, which are compiled
+
+            def among(lo: int, hi: int) -> Column:
+                if lo == hi:
+                    return F.lit(lo)
+                middle = (lo + hi + 1) // 2
+                return F.when(key >= starts[middle - 1], among(middle, hi)).otherwise(among(lo, middle - 1))
+
+            return among(0, len(starts))
+        steps, all_ = F.array(*[F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))]), F.array(*starts)
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(all_, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
 
 
 def numbered(df: DataFrame, keys: tuple[str, ...], name: str = "rn", ranges: Ranges | None = None) -> DataFrame:

@@ -446,9 +446,18 @@ def alter_ddl(spark, sf):
     return R.alter_ddl(load(spark, sf, "lineitem"), "public", "lineitem", ["l_quantity", "l_extendedprice", "l_orderkey"])
 
 
-@query("""select * from (values ('l_quantity', 'NUMERIC(18,2)', 'SMALLINT'), ('l_orderkey', 'BIGINT', (select case when max(l_orderkey) <= 32767 then 'SMALLINT' else 'INTEGER' end from lineitem)), ('l_extendedprice', 'NUMERIC(18,2)', 'NUMERIC'), ('l_shipdate', 'TIMESTAMP', 'DATE')) v(column_name, current_type, recommended_type)""")
+_CHANGEABLE = ["l_quantity", "l_orderkey", "l_extendedprice", "l_shipdate"]
+
+
+@query(f"""with {O.sides('lineitem')}, r as ({_number_range(["l_quantity", "l_orderkey", "l_extendedprice"])}), t as (select column_name, {_WHOLE} as recommended_type, fractions from r),
+m as (select (select count(*) from src where strftime(l_shipdate, '%H:%M:%S') <> '00:00:00') + (select count(*) from tgt where strftime(l_shipdate, '%H:%M:%S') <> '00:00:00') as timed),
+u as (select * from t union all select 'l_shipdate', case when timed = 0 then 'DATE' else 'TIMESTAMP' end, 0 from m),
+q as ({" union all ".join(f"select '{c}' as column_name, count(*) filter (where {c} is null) / count(*) as null_ratio, count(distinct {c}) / count(*) as distinct_ratio from src" for c in _CHANGEABLE)})
+select column_name, case column_name when 'l_orderkey' then 'BIGINT' when 'l_shipdate' then 'TIMESTAMP' else 'NUMERIC(18,2)' end as current_type, recommended_type, column_name = 'l_orderkey' as in_index, null_ratio, distinct_ratio,
+ case when null_ratio > 0.9 then 'mostly null: a narrower type saves little' when distinct_ratio < 0.01 then 'few distinct values: a code or flag' else '' end as hint, fractions from u join q using (column_name)""")
 def changeable_columns(spark, sf):
-    return R.changeable(load(spark, sf, "lineitem"), ["l_quantity", "l_orderkey", "l_extendedprice", "l_shipdate"]).select("column_name", "current_type", "recommended_type")
+    found = R.changeable(load(spark, sf, "lineitem"), _CHANGEABLE, R.Keys(indexed=("L_ORDERKEY",)))
+    return found.select("column_name", "current_type", "recommended_type", "in_index", "null_ratio", "distinct_ratio", "hint", "fractions")
 
 
 # --- type map and statements -------------------------------------------------------------------------------
@@ -584,7 +593,7 @@ def partition_totals(spark, sf):
     return P.totals(_events_by_day(spark, sf))
 
 
-@query(f"select count(*) as total_chunks, count(*) filter (where match) as matched_chunks, count(*) filter (where not match) as mismatched_chunks, count(*) filter (where match) / count(*) as match_rate from ({_FAILED})")
+@query(f"select count(*) as total_chunks, count(*) filter (where match) as matched_chunks, count(*) filter (where not match) as mismatched_chunks, count(*) filter (where match) / count(*) as match_rate, sum(source_rows)::bigint as source_rows, sum(target_rows)::bigint as target_rows from ({_FAILED})")
 def validation_summary(spark, sf):
     from tallyframe.plans.report import chunk_totals
 
@@ -788,12 +797,13 @@ def partition_scan(spark, sf):
 @query(f"""with s as (select p_partkey, cast(p_size as decimal(18,0)) as p_size from part), r as (select min(p_size) as lo, max(p_size) as hi from s),
 t as (select case when lo between -32768 and 32767 and hi between -32768 and 32767 then 'SMALLINT' else 'INTEGER' end as target_type from r)
 select 'p_size' as column_name, 'NUMERIC(18,0)' as current_type, target_type, true as can_downcast, 0::bigint as out_of_range_rows, 0::bigint as dry_run_loss_count, 'no_fraction_values,within_bigint_range,hash_match,sum_match' as reasons,
- 'ALTER TABLE "public"."part" ALTER COLUMN "p_size" TYPE ' || target_type || ' USING "p_size"::' || lower(target_type) || ';' as ddl from t""")
+ 'ALTER TABLE "public"."part" ALTER COLUMN "p_size" TYPE ' || target_type || ' USING "p_size"::' || lower(target_type) || ';' as ddl,
+ target_type || ' holds all values in ' || case target_type when 'SMALLINT' then 2 else 4 end || ' bytes' as message from t""")
 def downcast_accepted(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("decimal(18,0)").alias("p_size"))
     p = TablePair(part, part, ("p_partkey",))
     found = R.candidates(p, "public", "part", K.compare_chunks(p, SIZE), ["p_size"], R.Keys(pk=("p_partkey",)))
-    return found.select("column_name", "current_type", "target_type", "can_downcast", "out_of_range_rows", "dry_run_loss_count", F.array_join("reasons", ",").alias("reasons"), "ddl")
+    return found.select("column_name", "current_type", "target_type", "can_downcast", "out_of_range_rows", "dry_run_loss_count", F.array_join("reasons", ",").alias("reasons"), "ddl", "message")
 
 
 @query("select column_name, ordinal_position::int as column_id from information_schema.columns where table_name = 'events'")

@@ -9,15 +9,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.diff import ROW_COUNT
+
 #: Rows that the JSON and the text show of differences, of columns that don't match, and of partitions and metrics; beside each list stands how many there are.
 DETAILS, COLUMNS, LISTED = 10, 5, 1000
 
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:
-    """total_chunks, matched_chunks, mismatched_chunks, match_rate of compare_chunks; without a chunk the rate is null."""
+    """total_chunks, matched_chunks, mismatched_chunks, match_rate, source_rows, target_rows of compare_chunks; without a chunk the rate is null."""
     ok = F.count_if("match")
     total = F.count(F.lit(1))
-    return chunks.agg(total.alias("total_chunks"), ok.alias("matched_chunks"), F.count_if(~F.col("match")).alias("mismatched_chunks"), (ok / F.nullif(total, F.lit(0))).alias("match_rate"))
+    rows = [F.coalesce(F.sum(f"{s}_rows"), F.lit(0).cast("long")).alias(f"{s}_rows") for s in ("source", "target")] if "source_rows" in chunks.columns else []
+    return chunks.agg(total.alias("total_chunks"), ok.alias("matched_chunks"), F.count_if(~F.col("match")).alias("mismatched_chunks"), (ok / F.nullif(total, F.lit(0))).alias("match_rate"), *rows)
 
 
 def _rows(df: DataFrame, order: list[str], most: int) -> list[dict]:
@@ -33,6 +36,7 @@ def run_summary(chunks: DataFrame, drilled: DataFrame | None = None, partitions:
         "mismatched_chunks": totals.mismatched_chunks,
         "error_chunks": errors + (totals.total_chunks == 0),
         "match_rate": totals.match_rate or 0.0,
+        "row_counts": {"source": totals.source_rows, "target": totals.target_rows, "reason": ROW_COUNT if totals.source_rows != totals.target_rows else None},
         "mismatch_details": _rows(drilled, ["chunk_id"], DETAILS) if drilled is not None else [],
         "column_mismatches": [r.asDict() for r in columns.collect()] if columns is not None else [],  # a row for each column
         "key_problems": [r.asDict() for r in keys.collect()] if keys is not None else [],  # two rows
@@ -66,6 +70,8 @@ def readable(schema: str, table: str, run: dict, aggregates: dict | None = None,
     if "partition_summary" in run:
         p = run["partition_summary"]
         lines.append(f"partitions: {p['total_partitions']}, fully verified {p['fully_verified']}, light {p['light_verified']}, failed {p['failed']}")
+    if run.get("row_counts", {}).get("reason"):
+        lines.append(f"{ROW_COUNT}: {run['row_counts']['source']} rows in the source, {run['row_counts']['target']} in the target")
     lines += [f"column {c['column_name']}: {c['reason']}" for c in run.get("column_mismatches", [])]
     lines += [f"keys of the {k['side']}: {k['null_key_rows']} rows with a null, {k['repeated_keys']} keys that repeat" for k in run.get("key_problems", []) if k["null_key_rows"] or k["repeated_keys"]]
     lines += [f"large object {x['column_name']}: samples differ" for x in run.get("lob_mismatches", [])]
