@@ -187,7 +187,7 @@ def _marks(grouped: DataFrame) -> np.ndarray:
     at = F.col("fp").bitwiseAND((1 << MARK_BITS) - 1)
     parts = grouped.where("best is not null").groupBy(F.shiftright(at, PART_BITS).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << PART_BITS) - 1)).alias("bits"))
     out = np.zeros((1 << MARK_BITS) // 8, dtype=np.uint8)
-    for r in parts.toLocalIterator():  # at most 2 ** (MARK_BITS - PART_BITS) parts of 4 KB
+    for r in parts.collect():  # at most 2 ** (MARK_BITS - PART_BITS) parts of 4 KB
         start = r.part << (PART_BITS - 3)
         out[start : start + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return out
