@@ -155,10 +155,13 @@ class Engine:
             out.changeable = R.changeable(compared_pair, None, held)
         return out.keep()
 
-    def full_compare(self, schema: str, table: str, source: DataFrame, target: DataFrame, pk: tuple[str, ...] | None = None) -> DataFrame:
-        """Every difference of every row, without chunks."""
+    def full_compare(self, schema: str, table: str, source: DataFrame, target: DataFrame, pk: tuple[str, ...] | None = None, pairs: bool = False) -> DataFrame:
+        """Every difference of every row, without chunks. Rows whose key repeats are compared as multisets or, with pairs, as a join on the key does: each with
+        every row of that key on the other side."""
         pair, v = self.pair(schema, table, source, target, pk), self.settings.validation
-        return diff.keyed_diff(pair, v.decimal_tolerance, v.tolerance_by_column, v.null_empty_policy) if pair.keys else diff.multiset_diff(pair)
+        if not pair.keys:
+            return diff.multiset_diff(pair)
+        return (diff.row_diff if pairs else diff.keyed_diff)(pair, v.decimal_tolerance, v.tolerance_by_column, v.null_empty_policy)
 
 
 def with_fallback(engine: Engine, schema: str, table: str, source: DataFrame, target: DataFrame, **options) -> Outcome:
