@@ -2,6 +2,9 @@
 
 Defined cases: links of a node with itself say nothing, a link that is repeated or given both ways counts once, links with a null end are left out,
 and without links there are no components. Other columns are ignored.
+
+A round has as many tasks as its links need: up to FEW of them (counted before) the smallest neighbours are broadcast, and LINKS links are a task, as
+adaptive coalescing would have it; with more, everything is dealt by node over the shuffle partitions.
 """
 
 from __future__ import annotations
@@ -12,21 +15,27 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import cut
 
 MAX_ROUNDS = 60
+FEW, LINKS = 250_000, 50_000
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One step: every node's neighbours move to the smallest of them. links: a > b, distinct."""
+def _stars(links: DataFrame, large: bool, tasks: int | None = None) -> DataFrame:
+    """One step: every node's neighbours move to the smallest of them. links: a > b, distinct. tasks: of few links."""
+    if tasks:
+        links = links.coalesce(tasks)
     if large:
         around = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = links
     least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    if tasks:
+        least = F.broadcast(least.coalesce(tasks))
     moved = around.join(least, "a")
     if large:
         out = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    out = out.where(F.col("a") != F.col("b")).distinct()
+    return out.coalesce(tasks) if tasks else out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,7 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        links = cut(_stars(_stars(links, True), False))
+        tasks = max(2, -(-state[0] // LINKS)) if state[0] <= FEW else None  # a step makes no more links than it has
+        links = cut(_stars(_stars(links, True, tasks), False, tasks))
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -449,9 +449,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sets = cut(_sets(docs, points, classes, words))
 
     links = cut(verified(tries(members), points, sets, percent))
-    more = cut(verified(cross_pairs(members, components(links), points, percent), points, sets, percent))
+    first = components(links)
+    more = cut(verified(cross_pairs(members, first, points, percent), points, sets, percent))
     links = links.unionByName(more)
-    found = components(links)
+    found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))  # goes on from the components there are
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
 
     linked = found.select(F.col("node").alias("cls"), "component").unionByName(found.select(F.col("component").alias("cls"), "component").distinct())
